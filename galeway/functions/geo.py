@@ -93,11 +93,15 @@ def np_inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
     return np.where(same, 0.0, dist), np.where(same, np.nan, az)
 
 
-@F.pandas_udf("km double, azimuth double")
-def geodesic(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.DataFrame:
-    """Kilometres and initial bearing (null for equal points) between points in degrees."""
-    m, az = np_inverse(x1.to_numpy(float), y1.to_numpy(float), x2.to_numpy(float), y2.to_numpy(float))
-    return pd.DataFrame({"km": m / 1000, "azimuth": np.where(np.isnan(az), None, az).astype(object) if len(az) else []})
+def geodesic(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """struct(km, azimuth): distance and initial bearing (null for equal points) between points in degrees; null where a coordinate is."""
+
+    @F.pandas_udf("km double, azimuth double")
+    def kernel(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.DataFrame:
+        m, az = np_inverse(x1.to_numpy(float), y1.to_numpy(float), x2.to_numpy(float), y2.to_numpy(float))
+        return pd.DataFrame({"km": pd.Series(m / 1000).astype(object).where(~np.isnan(m), None), "azimuth": pd.Series(az).astype(object).where(~np.isnan(az), None)})
+
+    return kernel(x1, y1, x2, y2)
 
 
 #: Equal Earth projection (EPSG:8857) by its published polynomial.

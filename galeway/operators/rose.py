@@ -53,7 +53,7 @@ def sector(theta: Column) -> Column:
 
 
 def loadings(series: DataFrame, grid: GridSpec, trans: Trans = 1, by: tuple[str, ...] = ("cell", "row", "col", "x", "y"), skip_null: bool = False, true_res: bool = False) -> DataFrame:
-    """by, n, SW..S: sums of weights dealt to the two neighbours whose bearings enclose the wind's.
+    """by, n_obs, SW..S: sums of weights dealt to the two neighbours whose bearings enclose the wind's.
 
     Partial sums are formed before the one shuffle on the cell. A null u or v is left out and not
     counted (skip_null), or makes the cell's loadings null.
@@ -66,7 +66,7 @@ def loadings(series: DataFrame, grid: GridSpec, trans: Trans = 1, by: tuple[str,
     k, f, w = F.col("_s.k"), F.col("_s.f"), F.col("_w")
     load = {d: F.sum(F.when(k == i, (1 - f) * w).when(k == (i - 1) % 8, f * w).otherwise(0.0)) for d, i in SECTOR.items()}
     whole = F.count("*") == F.count("_s")
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.when(whole, load[d]).alias(d) for d in DIRS))
+    return df.groupBy(*by).agg(F.count("*").alias("n_obs"), *(F.when(whole, load[d]).alias(d) for d in DIRS))
 
 
 def conductance(load: DataFrame, grid: GridSpec, true_res: bool = False) -> DataFrame:
@@ -74,7 +74,7 @@ def conductance(load: DataFrame, grid: GridSpec, true_res: bool = False) -> Data
     rows = load.sparkSession.createDataFrame(neighbour_geometry(grid, true_res), GEOMETRY)
     metres = {"SW": "d_se", "W": "d_e", "NW": "d_ne", "N": "d_n", "NE": "d_ne", "E": "d_e", "SE": "d_se", "S": "d_s"}
     df = load.join(F.broadcast(rows), "row")
-    return df.withColumns({d: F.col(d) * 3600 / F.col(m) / F.col("n") for d, m in metres.items()}).drop("n", *(c.split()[0] for c in GEOMETRY.split(", ")[1:]))
+    return df.withColumns({d: F.col(d) * 3600 / F.col(m) / F.col("n_obs") for d, m in metres.items()}).drop("n_obs", *(c.split()[0] for c in GEOMETRY.split(", ")[1:]))
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ class WindRose:
 
     def weight(self, weights: DataFrame) -> WindRose:
         """All directions times a weight by cell (cell, w); a cell without one gets null."""
-        df = self.df.join(weights.select("cell", "w"), "cell", "left").withColumns({d: F.col(d) * F.col("w") for d in DIRS}).drop("w")
+        df = self.df.join(weights.select("cell", F.col("w").alias("_weight")), "cell", "left").withColumns({d: F.col(d) * F.col("_weight") for d in DIRS}).drop("_weight")
         return WindRose(df, self.grid, self.trans, self.n_steps)
 
     def downscale(self, fact: int, method: str = "bilinear") -> WindRose:
@@ -158,12 +158,12 @@ def bilinear(points: DataFrame, df: DataFrame, grid: GridSpec, cx: str, ry: str,
     corners = F.array(*(
         F.struct(
             F.greatest(F.lit(1), F.least(F.lit(grid.nrow), r0 + i)).cast("int").alias("row"), F.greatest(F.lit(1), F.least(F.lit(grid.ncol), c0 + j)).cast("int").alias("col"),
-            ((F.col(ry) - r0 if i else r0 + 1 - F.col(ry)) * (F.col(cx) - c0 if j else c0 + 1 - F.col(cx))).alias("w"),
+            ((F.col(ry) - r0 if i else r0 + 1 - F.col(ry)) * (F.col(cx) - c0 if j else c0 + 1 - F.col(cx))).alias("_share"),
         ) for i in (0, 1) for j in (0, 1)
     ))
-    four = points.select(*keys, F.explode(corners).alias("p")).select(*keys, "p.*").where("w > 0")
+    four = points.select(*keys, F.explode(corners).alias("p")).select(*keys, "p.*").where("_share > 0")
     near = four.join(df.select("row", "col", *values), ["row", "col"], "left")
-    return near.groupBy(*keys).agg(*(F.when(F.count(v) == F.count("*"), F.sum(F.col("w") * F.col(v))).alias(v) for v in values))
+    return near.groupBy(*keys).agg(*(F.when(F.count(v) == F.count("*"), F.sum(F.col("_share") * F.col(v))).alias(v) for v in values))
 
 
 def sample(points: DataFrame, df: DataFrame, grid: GridSpec, keys: list[str], values: list[str]) -> DataFrame:

@@ -14,12 +14,12 @@ KEYS = ("cell", "row", "col", "x", "y")
 def windowed(series: DataFrame, grid: GridSpec, window: str = "1 day", watermark: str = "1 hour", trans: Trans = 1) -> DataFrame:
     """start and a rose of each cell and window of ts; batch and stream alike. Late rows are dropped after the watermark (streams only)."""
     df = series.withWatermark("ts", watermark) if series.isStreaming else series
-    load = loadings(df.withColumn("w", F.window("ts", window)), grid, trans, by=("w", *KEYS))
-    return conductance(load, grid).withColumn("start", F.col("w.start")).drop("w")
+    load = loadings(df.withColumn("_window", F.window("ts", window)), grid, trans, by=("_window", *KEYS))
+    return conductance(load, grid).withColumn("start", F.col("_window.start")).drop("_window")
 
 
 def running(loads: DataFrame, new: DataFrame) -> DataFrame:
-    """Loadings (cell, n, directions) plus those of another batch."""
+    """Loadings (cell, n_obs, directions) plus those of another batch."""
     from galeway.grid import DIRS
 
-    return loads.unionByName(new).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("n", *DIRS)))
+    return loads.unionByName(new).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("n_obs", *DIRS)))
