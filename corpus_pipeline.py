@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeway.llm import line_dedup, mixing, pieces, quality, simhash
-from galeway.llm.common import materialize, table
+from galeway.llm.common import materialize, small_batches, table
 from galeway.llm.token_files import vocabulary
 
 #: Relative weights of sources; others have 1.
@@ -17,6 +17,7 @@ PIECES = "piece_bpe_32k.model"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
+    small_batches(spark)
     return docs.withColumn("_q", quality.judge(F.col("text"))).where("_q.kept").select(docs.columns)
 
 

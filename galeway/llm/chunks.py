@@ -26,7 +26,7 @@ class ChunkCoder:
 
     prefix = ""
 
-    def __init__(self, dtype: str, cap: int = 600_000):
+    def __init__(self, dtype: str, cap: int = 300_000):
         self.dtype, self.cap = np.dtype(dtype), cap
         self.parts: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
@@ -89,7 +89,7 @@ class ChunkCoder:
         return out
 
 
-def text_steps(texts: Iterable[str | None], chars: int = 1_000_000) -> Iterable[list[str]]:
+def text_steps(texts: Iterable[str | None], chars: int = 500_000) -> Iterable[list[str]]:
     """Texts in lists of about `chars` characters, so that memory follows no batch size."""
     held, size = [], 0
     for t in texts:

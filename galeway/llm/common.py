@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let this session hand texts to Python in batches of a few MB, whatever their length: a worker holds one at a time."""
+    for key, limit in (("spark.sql.execution.arrow.maxBytesPerBatch", most), ("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)):
+        found = spark.conf.get(key, None)
+        if found is None or not 0 < int(found.rstrip("bB")) <= limit:
+            spark.conf.set(key, str(limit))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeway.llm.chunks import ChunkCoder, shared, text_steps
+from galeway.llm.common import small_batches
 
 MARK = "▁"
 #: What an unknown character costs more than the worst piece.
@@ -100,6 +101,7 @@ class PieceCoder(ChunkCoder):
 
 
 def _kernel(spark, model_path: str, schema: str, row):
+    small_batches(spark)
     pieces = spark.sparkContext.broadcast(load_pieces(model_path))  # 1 MB, whatever the input
     key = f"PieceCoder {zlib.crc32(repr(pieces.value).encode())}"
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeway.llm.common import small_batches
+
 #: Compressor level, and bytes of the fixed chunks.
 LEVEL, CHUNK = 3, 4096
 #: (bytes from, least and most ratio of the whole text, least and most ratio of a full chunk); ratio: bytes / compressed bytes.
@@ -19,7 +21,7 @@ CHUNK_BAND = (1.2, 8.0)
 #: A text fails if more than this share of its full chunks is outside CHUNK_BAND.
 BAD_CHUNKS = 0.25
 #: Bytes of text that are taken apart at once.
-STEP = 4_000_000
+STEP = 1_000_000
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, n_chunks long, n_bad_chunks long, base_failed boolean, kept boolean"
 
@@ -112,6 +114,7 @@ def judge(text: Column) -> Column:
 
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of SCHEMA. Row by row: ids, repeated rows and other columns don't matter; columns of the same names are replaced."""
+    small_batches(docs.sparkSession)
     q = docs.withColumn("_q", judge(F.col(text)))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return q.withColumns({n: F.col(f"_q.{n}") for n in names}).drop("_q")

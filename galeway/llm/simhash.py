@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeway.llm.common import materialize
+from galeway.llm.common import materialize, small_batches
 from galeway.llm.graph import components
 from galeway.llm.quality import steps
 
@@ -271,6 +271,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, k: int = 3, doc: str =
     Copies share a fingerprint and are counted once; a null or empty text has fingerprint 0. Every row
     comes back, repeated ones too; null ids belong to components, whose id is null if all ids are.
     """
+    small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(doc).alias("doc"), fingerprint(F.col(text), shingle).alias("x")))
     least = materialize(prints.groupBy("x").agg(F.min("doc").alias("least")))
     roots = components(links(least.select("x"), k))
@@ -316,6 +317,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     RADIUS bits at most of one word: two texts at 0.8 meet with a probability of about 0.98. Each bucket gives
     a spanning forest of its nearest pairs, and every one of these is then settled on the whole sets.
     """
+    small_batches(docs.sparkSession)
     sketched = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), _sketcher(shingle)(F.col(text)).alias("s"))
     texts = materialize(sketched.groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("s.n", "s.x", "s.tables")).alias("s")))
     rows = texts.select("node", F.col("s.x").alias("x"), F.posexplode("s.tables").alias("t", "v")).select(((F.col("t") * F.lit(1 << BITS)) + F.col("v")).cast("long").alias("key"), "x", "node")

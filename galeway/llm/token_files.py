@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeway.llm.chunks import ChunkCoder, shared, text_steps
+from galeway.llm.common import small_batches
 
 #: Tokens after which a block ends; one whole document at least.
 BLOCK_TOKENS = 1 << 18
@@ -154,6 +155,7 @@ def encode_blocks(docs: DataFrame, model_path: str, doc: str = "doc_id", text: s
     Documents are dealt by ranges of ids and sorted, then encoded where they lie, so texts move
     once. (part, seq) is the order of blocks, `at` the tokens of earlier blocks of the part.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, encoding="utf-8") as f:
         key = zlib.crc32((content := f.read()).encode())
         model = docs.sparkSession.sparkContext.broadcast(content)  # a few MB, whatever the input
