@@ -26,7 +26,7 @@ class ChunkCoder:
 
     prefix = ""
 
-    def __init__(self, dtype: str, cap: int = 300_000):
+    def __init__(self, dtype: str, cap: int = 600_000):
         self.dtype, self.cap = np.dtype(dtype), cap
         self.parts: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
@@ -40,52 +40,41 @@ class ChunkCoder:
 
     def code(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null text is empty."""
-        get, plans, need, odd = self.parts.get, [], {}, {}
-        for t in texts:
-            parts = (t or "").split(" ")
-            got = list(map(get, parts))
-            if self.prefix != " ":
-                got[0] = None
-            if None not in got:
-                plans.append((got, None, None))
+        split = [(t or "").split(" ") for t in texts]
+        seen: set[str] = set()
+        for parts in split:
+            seen.update(parts)
+        new = seen.difference(self.parts)
+        odd = {p for p in new if self.open_end(p)}  # these never get into self.parts
+        new = list(new - odd)
+        self.parts.update(zip(new, self.fresh([" " + p for p in new], True), strict=True))
+        first, plans, plain = int(self.prefix != " "), [], []
+        for parts in split:
+            plain.append(not odd or odd.isdisjoint(parts))
+            if plain[-1]:
+                plans.append(parts[:first])
                 continue
-            missing = [i for i, g in enumerate(got) if g is None]
-            if any(self.open_end(parts[i]) for i in missing):
-                chunks, at = [], self.prefix + parts[0]
-                for before, p in zip(parts, parts[1:]):
-                    if self.open_end(before):
-                        at += " " + p
-                    else:
-                        chunks.append(at)
-                        at = " " + p
-                chunks.append(at)
-                odd.update(dict.fromkeys(c for c in chunks if c not in self.whole))
-                plans.append((None, chunks, None))
-                continue
-            if self.prefix != " ":
-                missing = missing[1:]
-                if parts[0] not in self.whole:
-                    odd[parts[0]] = None
-            need.update(dict.fromkeys(parts[i] for i in missing))
-            plans.append((got, parts, missing))
-        new = list(need)
-        parts_now = dict(zip(new, self.fresh([" " + p for p in new], True), strict=True))
-        new = list(odd)
-        whole_now = dict(zip(new, self.fresh(new, False), strict=True))
+            chunks, at = [], self.prefix + parts[0]
+            for before, p in zip(parts, parts[1:]):
+                if self.open_end(before):
+                    at += " " + p
+                else:
+                    chunks.append(at)
+                    at = " " + p
+            plans.append([*chunks, at])
+        rare = list({c for plan in plans for c in plan}.difference(self.whole))
+        self.whole.update(zip(rare, self.fresh(rare, False), strict=True))
+        at_hand = {p: self.parts[p] for p in seen.difference(odd)}.__getitem__  # small enough for the CPU's cache
         out = []
-        for got, parts, missing in plans:
-            if got is None:
-                out.append(b"".join([whole_now[c] if c in whole_now else self.whole[c] for c in parts]))
-                continue
-            if missing is not None:
-                for i in missing:
-                    got[i] = parts_now[parts[i]]
-                if self.prefix != " ":
-                    got[0] = whole_now[parts[0]] if parts[0] in whole_now else self.whole[parts[0]]
-            out.append(b"".join(got))
-        for held, now in ((self.parts, parts_now), (self.whole, whole_now)):
-            if len(held) + len(now) <= self.cap:
-                held.update(now)
+        for parts, plan, ok in zip(split, plans, plain, strict=True):
+            ids = list(map(self.whole.__getitem__, plan))
+            if ok:
+                ids += map(at_hand, parts[first:] if first else parts)
+            out.append(b"".join(ids))
+        for held, now in ((self.parts, new), (self.whole, rare)):
+            if len(held) > self.cap:
+                for c in now:
+                    del held[c]
         return out
 
 

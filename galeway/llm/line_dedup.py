@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeway.llm.common import WORD
+from galeway.llm.common import WORD, materialize
 
 #: A repeated run of lines is deleted if it has so many words.
 MIN_WORDS = 50
@@ -42,7 +42,7 @@ def _windows(units: DataFrame, min_words: int) -> DataFrame:
         )
 
     both = units.select("doc", "th", over(ahead).alias("a"), over(back).alias("b"))
-    w = both.select("doc", "th", F.explode(F.array("a", "b")).alias("w")).where(F.col("w.nw") >= min_words)
+    w = both.select("doc", "th", F.explode(F.array(F.col("a"), F.when(F.col("b.lo") < F.col("b.hi"), F.col("b")))).alias("w")).where(F.col("w.nw") >= min_words)  # a single line is its own window both ways
     return w.select(
         "doc", "th", "w.lo", "w.hi", F.col("w.m.h1").alias("mark"), (-F.col("w.m.n")).alias("at"),
         F.xxhash64("w.hs").alias("k1"), F.xxhash64(F.lit("b"), "w.hs").alias("k2"),
@@ -57,14 +57,17 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_
     order of documents and lines are runs to delete, and their union extends every match both
     ways as far as min_words lines agree.
     """
-    windows = _windows(_units(docs, doc, text), min_words)
+    # written once and read again: each join below has plain scans under both exchanges, so a hot key is split at run time
+    windows = materialize(_windows(_units(docs, doc, text), min_words))
     marks = (
         windows.groupBy("mark").agg(F.min(F.struct("doc", "th", "at")).alias("x"), F.max(F.struct("doc", "th", "at")).alias("y"))
         .where("x != y").select("mark")
     )
+    marks = materialize(marks)
     found = windows.join(marks, "mark", "left_semi").select("doc", "th", "lo", "hi", "k1", "k2")
     place = F.struct("doc", "th", "lo", "hi")
     first = found.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("k1", "k2", "f")
+    first = materialize(first)
     same = F.col("doc").eqNullSafe(F.col("f.doc")) & (F.col("th") == F.col("f.th"))
     # where a run overlaps its own first occurrence, that one stays whole
     later = found.join(first, ["k1", "k2"]).where(F.struct("doc", "th", "lo", "hi") != F.col("f"))

@@ -17,6 +17,8 @@ from galeway.llm.common import small_batches
 
 #: Tokens after which a block ends; one whole document at least.
 BLOCK_TOKENS = 1 << 18
+#: Chunks that are encoded as one text.
+GROUP = 64
 #: The id after each document.
 END = 0
 #: Ones between the sampled positions of the select structure.
@@ -126,19 +128,25 @@ class ByteBpe(ChunkCoder):
 
         self.model = Tokenizer.from_str(model)
         n = self.model.get_vocab_size()
-        super().__init__("<u2" if n <= 1 << 16 else "<u4")
+        super().__init__("<u2" if n <= 1 << 16 else "<u4", 1_200_000)
         self.leads = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
 
     def open_end(self, part: str) -> bool:
         return not part or part[-1].isspace()
 
     def fresh(self, chunks: list[str], plain: bool) -> list[bytes]:
-        if plain and chunks:  # one text of them all; each begins with the only tokens that begin with a space
-            ids = np.array(self.model.encode("".join(chunks), add_special_tokens=False).ids, self.dtype)
-            at = np.flatnonzero(self.leads[ids])
-            if len(at) == len(chunks) and at[0] == 0:
+        if plain:  # short texts of some chunks; each chunk begins with the only tokens that begin with a space
+            out: list[bytes] = []
+            groups = [chunks[i : i + GROUP] for i in range(0, len(chunks), GROUP)]
+            for group, e in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                at = np.flatnonzero(self.leads[ids])
+                if len(at) != len(group) or at[0]:
+                    out += self.fresh(group, False)
+                    continue
                 raw, cut = ids.tobytes(), (np.append(at, len(ids)) * self.dtype.itemsize).tolist()
-                return [raw[a:b] for a, b in zip(cut, cut[1:])]
+                out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+            return out
         return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch(chunks, add_special_tokens=False)]
 
 
