@@ -15,9 +15,9 @@ from galeway.llm.common import small_batches
 LEVEL, CHUNK = 3, 4096
 #: (bytes from, least and most ratio of the whole text, least and most ratio of a full chunk); ratio: bytes / compressed bytes.
 #: Longer texts compress better, so the limits move with the length. Under 256 bytes frames and headers outweigh the content.
-BANDS = [(256, 1.1, 3.5), (1024, 1.2, 4.5), (4096, 1.4, 6.0), (16384, 1.6, 8.0), (65536, 1.6, 10.0)]
+BANDS = [(256, 1.15, 3.5), (1024, 1.35, 4.5), (4096, 1.5, 6.0), (16384, 1.6, 8.0), (65536, 1.6, 10.0)]
 #: Ratios allowed for each full chunk of CHUNK bytes.
-CHUNK_BAND = (1.2, 8.0)
+CHUNK_BAND = (1.3, 8.0)
 #: A text fails if more than this share of its full chunks is outside CHUNK_BAND.
 BAD_CHUNKS = 0.25
 #: Bytes of text that are taken apart at once.
