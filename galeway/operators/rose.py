@@ -161,7 +161,7 @@ def bilinear(points: DataFrame, df: DataFrame, grid: GridSpec, cx: str, ry: str,
             ((F.col(ry) - r0 if i else r0 + 1 - F.col(ry)) * (F.col(cx) - c0 if j else c0 + 1 - F.col(cx))).alias("_share"),
         ) for i in (0, 1) for j in (0, 1)
     ))
-    four = points.select(*keys, F.explode(corners).alias("p")).select(*keys, "p.*").where("_share > 0")
+    four = points.select(*keys, F.explode(corners).alias("_corner")).select(*keys, "_corner.*").where("_share > 0")
     near = four.join(df.select("row", "col", *values), ["row", "col"], "left")
     return near.groupBy(*keys).agg(*(F.when(F.count(v) == F.count("*"), F.sum(F.col("_share") * F.col(v))).alias(v) for v in values))
 

@@ -19,7 +19,7 @@ def read_genepop(spark: SparkSession, path: str) -> DataFrame:
 
     Populations have no key in the file, only an order, so it is read as one text (a file has a row for each individual).
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pops = text.select(F.posexplode(F.split("value", r"(?im)^\s*pop\s*$")).alias("pop", "body"))
     head = text.select(F.split(F.trim(F.element_at(F.split(F.element_at(F.split("value", r"(?im)^\s*pop\s*$"), 1), r"\r?\n"), 2)), r"\s*,\s*").alias("loci"))
     lines = pops.where("pop > 0").select("pop", F.explode(F.split("body", r"\r?\n")).alias("line")).where(F.col("line").contains(","))

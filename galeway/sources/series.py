@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from galeway.grid import GridSpec
 from galeway.operators.rose import Trans, WindRose, wind_rose
@@ -95,8 +95,8 @@ def _days(years: Iterable[int], months: Iterable[int], days: Iterable[int]) -> l
 class ReanalysisSource(DataSource):
     """format("reanalysis"): hourly winds from local archives <path>/<variable>/<yyyymmdd>.npz (lon, lat, hour, u, v).
 
-    One partition for each day; ranges of lon, lat and hour, given as options or pushed down as
-    filters, select the part of the arrays that is read. Rows: ts, hour, lon, lat, u, v; layer=land: lon, lat, w.
+    One partition for each day; the options lon, lat and hour (low:high, inclusive) select the part
+    of the arrays that is read. Rows: ts, hour, lon, lat, u, v; layer=land: lon, lat, w.
     """
 
     @classmethod
@@ -116,18 +116,8 @@ class _Reader(DataSourceReader):
         self.box = {"lon": [0.0, 360.0], "lat": [-90.0, 90.0], "hour": [0.0, 23.0]}
         for k in self.box:
             if k in options:
-                self._narrow(k, *map(float, options[k].split(":")))
-
-    def _narrow(self, name: str, low: float, high: float) -> None:
-        self.box[name] = [max(self.box[name][0], low), min(self.box[name][1], high)]
-
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if name in self.box and isinstance(f, (EqualTo, GreaterThanOrEqual, LessThanOrEqual)) and isinstance(f.value, (int, float)):
-                self._narrow(name, -1e9 if isinstance(f, LessThanOrEqual) else f.value, 1e9 if isinstance(f, GreaterThanOrEqual) else f.value)
-            else:
-                yield f
+                low, high = map(float, options[k].split(":"))
+                self.box[k] = [max(self.box[k][0], low), min(self.box[k][1], high)]
 
     def partitions(self) -> list[InputPartition]:
         if self.o.get("layer") == "land":

@@ -13,7 +13,8 @@ KEYS = ("cell", "row", "col", "x", "y")
 
 def windowed(series: DataFrame, grid: GridSpec, window: str = "1 day", watermark: str = "1 hour", trans: Trans = 1) -> DataFrame:
     """start and a rose of each cell and window of ts; batch and stream alike. Late rows are dropped after the watermark (streams only)."""
-    df = series.withWatermark("ts", watermark) if series.isStreaming else series
+    df = series.withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withWatermark("ts", watermark) if series.isStreaming else df
     load = loadings(df.withColumn("_window", F.window("ts", window)), grid, trans, by=("_window", *KEYS))
     return conductance(load, grid).withColumn("start", F.col("_window.start")).drop("_window")
 
