@@ -64,7 +64,8 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_
         .where("x != y").select("mark")
     )
     marks = materialize(marks)
-    found = windows.join(marks, "mark", "left_semi").select("doc", "th", "lo", "hi", "k1", "k2")
+    # used twice below: written, so that the windows are dealt by fingerprint only once
+    found = materialize(windows.join(marks, "mark", "left_semi").select("doc", "th", "lo", "hi", "k1", "k2"))
     place = F.struct("doc", "th", "lo", "hi")
     first = found.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("k1", "k2", "f")
     first = materialize(first)
