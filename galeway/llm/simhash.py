@@ -20,6 +20,8 @@ FAN = 16
 BUCKET, LEVELS = 20_000, 2
 #: Pairs that are compared at once.
 PAIRS = 1 << 21
+#: Shingles of the texts that one task compares: larger families are compared block by block.
+FAMILY = 2_000_000
 #: near_duplicates(): words of sketch, tables, bits of a table, and bits of the first word in which candidates may differ.
 SKETCH, TABLES, BITS, RADIUS = 4, 64, 16, 18
 
@@ -147,9 +149,16 @@ def _flat(root: np.ndarray) -> np.ndarray:
 
 def spanning(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of a spanning forest of all links at k differing bits or fewer, nearest pairs first within a block."""
+    return _spanning(x, k)[:2]
+
+
+def _spanning(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """spanning(), and the words with a link that the forest leaves out."""
     order = np.argsort(gray_rank(x), kind="stable")
     index, root, out = GrayIndex(x[order]), np.arange(len(x)), []
+    links = np.zeros(len(x), np.int64)  # of each word, less those of the forest
     for i, j, d in index.pairs(k):
+        links[order] += np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
         flat = _flat(root)
         new = flat[i] != flat[j]
         i, j, d = i[new], j[new], d[new]
@@ -163,15 +172,19 @@ def spanning(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
                 at = at[4096:]
                 at = at[flat[i[at]] != flat[j[at]]]
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    return i, j, np.flatnonzero(links > np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x)))
 
 
-def bucket_edges(key: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning pairs (i, j) inside each run of equal keys. Short runs are compared together, position by position."""
+def bucket_edges(key: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning pairs (i, j) inside each run of equal keys, and the positions with links that they leave out.
+
+    Short runs are compared together, position by position, and leave none out.
+    """
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    out_i, out_j = [], []
+    out_i, out_j, left = [], [], [np.zeros(0, np.int64)]
     small = np.flatnonzero((size > 1) & (size <= FAN))
     for step in range(1, FAN):
         runs = small[size[small] > step]
@@ -182,24 +195,34 @@ def bucket_edges(key: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np
         out_i.append(i[near])
         out_j.append(i[near] + step)
     for r in np.flatnonzero(size > FAN):
-        i, j = spanning(x[first[r] : first[r] + size[r]], k)
+        i, j, rest = _spanning(x[first[r] : first[r] + size[r]], k)
         out_i.append(i + first[r])
         out_j.append(j + first[r])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        left.append(rest + first[r])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_i or none), np.concatenate(out_j or none), np.concatenate(left)
+
+
+def _edges(k: int, marks: bool = False):
+    """Batches of (key, x, node), sorted by key -> (a, b): links of the buckets; with `marks` also (node, null, key) for nodes with links left out."""
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, left = bucket_edges(pdf.key.to_numpy(), pdf.x.to_numpy(np.int64).view(np.uint64), k)
+        node = pdf.node.to_numpy()
+        out = pd.DataFrame({"a": node[i], "b": node[j]})
+        if not marks:
+            return out
+        more = pd.DataFrame({"a": node[left], "b": None, "key": pd.array(pdf.key.to_numpy()[left], "Int64")})
+        return pd.concat([out.assign(key=pd.array([None] * len(out), "Int64")), more], ignore_index=True)
+
+    return _by_key(emit)
 
 
-def _edges(k: int):
-    """Batches of (key, x, node), sorted by key -> (a, b): links of the buckets; the last bucket of a batch waits for the next batch."""
+def _by_key(emit):
+    """emit() over batches sorted by key, whole keys at a time: the last key of a batch waits for the next batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, last = [], None
-        empty = pd.DataFrame({"key": [], "x": [], "node": []})
-
-        def emit(parts):
-            pdf = pd.concat(parts, ignore_index=True)
-            i, j = bucket_edges(pdf.key.to_numpy(), pdf.x.to_numpy(np.int64).view(np.uint64), k)
-            node = pdf.node.to_numpy()
-            return pd.DataFrame({"a": node[i], "b": node[j]})
 
         for pdf in batches:
             if not len(pdf):
@@ -209,10 +232,11 @@ def _edges(k: int):
             if end == last and cut == 0:
                 held.append(pdf)
                 continue
-            yield emit([*held, pdf.iloc[:cut]] if held or cut else [empty])
+            if held or cut:
+                yield emit(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
             held, last = [pdf.iloc[cut:]], end
         if held:
-            yield emit(held)
+            yield emit(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -309,20 +333,97 @@ def _sets(shingle: int):
     return kernel
 
 
+def alike(sets: list[np.ndarray], similarity: float, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of `similarity` or more that connect all such pairs of sets whose roots differ.
+
+    Two such sets share one of the n - ceil(similarity n) + 1 rarest members of each (prefix filter), so
+    no pair is lost; a pair that is joined already, by verified pairs only, isn't compared.
+    """
+    size, root, out = np.array([len(h) for h in sets]), root.copy(), []
+
+    def join(i: int, j: int) -> None:
+        if root[i] != root[j]:
+            root[root == root[j]] = root[i]
+            out.append((i, j))
+
+    none = np.flatnonzero(size == 0)
+    for j in none[1:]:
+        join(none[0], j)
+    if size.sum():
+        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        row, at = np.repeat(np.arange(len(sets)), size), np.concatenate([[0], np.cumsum(size)])
+        r = rank[code]
+        r = r[np.lexsort((r, row))]
+        prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+        head = np.arange(len(r)) - at[row] < prefix[row]
+        by = np.argsort(r[head], kind="stable")
+        having, first = row[head][by], np.concatenate([[0], np.cumsum(np.bincount(r[head], minlength=len(count)))])
+        mark = np.zeros(len(count), bool)
+        for i in np.flatnonzero(size):
+            tokens = r[at[i] : at[i] + min(prefix[i], size[i])]
+            tokens = tokens[first[tokens + 1] - first[tokens] > 1]
+            if not len(tokens):
+                continue
+            j = np.unique(np.concatenate([having[first[t] : first[t + 1]] for t in tokens]))
+            j = j[(j > i) & (root[j] != root[i])]
+            j = j[np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9]
+            mark[r[at[i] : at[i + 1]]] = True
+            for part in np.array_split(j, -(-int(size[j].sum()) // PAIRS) or 1):
+                if len(part):
+                    ends = np.concatenate([[0], np.cumsum(size[part])[:-1]])
+                    common = np.add.reduceat(mark[np.concatenate([r[at[v] : at[v + 1]] for v in part])], ends, dtype=np.int64)
+                    for v in part[common >= similarity * (size[i] + size[part] - common) - 1e-9]:
+                        join(i, v)
+            mark[r[at[i] : at[i + 1]]] = False
+    return np.array([a for a, _ in out], np.int64), np.array([b for _, b in out], np.int64)
+
+
+def _left_out(marks: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """(a, b): verified pairs across the groups `roots` in the families of texts that share buckets in `marks` (node, key).
+
+    A family's texts are compared whole against whole in blocks of FAMILY shingles.
+    """
+    named = marks.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    crossing = materialize(named.join(split, "key", "left_semi"))
+    if crossing.isEmpty():
+        return None
+    families = components(crossing.select(F.col("node").alias("a"), F.concat(F.lit("k"), F.col("key").cast("string")).alias("b")))
+    members = crossing.select("node", "root").distinct().join(families.select("node", F.col("root").alias("family")), "node")
+    members = materialize(members.join(sets.select("node", F.size("h").alias("n")), "node"))
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(FAMILY)).cast("int").alias("nb")).withColumn("nb", F.greatest("nb", F.lit(1)))
+    rows = members.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    key = F.concat_ws(" ", "family", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    rows = rows.select("node", "root", key.alias("key")).join(sets, "node")
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = alike([np.asarray(h, np.int64) for h in pdf.h], similarity, pd.factorize(pdf.root)[0])
+        node = pdf.node.to_numpy()
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_by_key(emit), "a string, b string")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root, least): every distinct text by its MD5, the group it belongs to, the smallest id of its rows.
 
     Texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked; groups are
     the components. Candidates share one of TABLES samples of BITS sketch bits and differ in
     RADIUS bits at most of one word: two texts at 0.8 meet with a probability of about 0.98. Each bucket gives
-    a spanning forest of its nearest pairs, and every one of these is then settled on the whole sets.
+    all its pairs, or if it is large a spanning forest of its nearest ones, and every one of these is then settled
+    on the whole sets. Pairs that a forest leaves out and that no verified pairs join are settled by _left_out().
     """
     small_batches(docs.sparkSession)
     sketched = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), _sketcher(shingle)(F.col(text)).alias("s"))
     texts = materialize(sketched.groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("s.n", "s.x", "s.tables")).alias("s")))
     rows = texts.select("node", F.col("s.x").alias("x"), F.posexplode("s.tables").alias("t", "v")).select(((F.col("t") * F.lit(1 << BITS)) + F.col("v")).cast("long").alias("key"), "x", "node")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "x").mapInPandas(_edges(RADIUS), "a string, b string")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = rows.repartition("key").sortWithinPartitions("key", "x").mapInPandas(_edges(RADIUS, True), "a string, b string, key long")
+    found = materialize(pairs.distinct())
+    marks = found.where("b is null").select(F.col("a").alias("node"), "key")
+    pairs = materialize(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     body = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), text)
     pick = texts.join(nodes, "node", "left_semi").select("node", F.col("least").alias("doc"))
@@ -332,7 +433,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     common = F.size(F.array_intersect("ha", "hb"))
     union = F.size("ha") + F.size("hb") - common
     near = sized.where((union == 0) | (common >= similarity * union - 1e-9)).select("a", "b")
+    near = materialize(near)
     roots = components(near)
+    more = _left_out(marks, roots, sets, similarity)
+    if more is not None:
+        roots = components(near.unionByName(more))
     return texts.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
 
 

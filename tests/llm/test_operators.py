@@ -228,6 +228,45 @@ def test_keep_one_odd_rows(odd):
     assert sum(not (t or "").strip() for _, t in kept) == 1 and simhash.keep_one(empty(odd)).count() == 0
 
 
+def test_template_family_is_settled_like_brute_force(spark):
+    # texts on one template at 0.6 to 0.79, with some pairs above 0.8 among them
+    rng = np.random.default_rng(8)
+    base, fill = [f"t{i}" for i in range(200)], lambda: "f" + str(rng.integers(0, 10**9))
+    texts = []
+    for _ in range(800):
+        w = base.copy()
+        at = int(rng.integers(0, 160))
+        w[at : at + 28] = [fill() for _ in range(28)]
+        texts.append(" ".join(w))
+        if len(texts) % 20 == 0:
+            at = int(rng.integers(0, 180))
+            w[at : at + 12] = [fill() for _ in range(12)]
+            texts.append(" ".join(w))
+    hashes = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    every = np.unique(np.concatenate(hashes))
+    has = np.zeros((len(texts), len(every)), np.float32)
+    for i, h in enumerate(hashes):
+        has[i, np.searchsorted(every, h)] = 1
+    has = has[:, has.sum(0) > 1]
+    common, size = has @ has.T, np.array([len(h) for h in hashes])
+    near = np.argwhere(common >= 0.8 * (size[:, None] + size - common) - 1e-6)
+    want = union_find(len(texts), near[near[:, 0] > near[:, 1]].tolist())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    want = {i for i, r in enumerate(want) if r == i}
+    assert len(want) < len(texts) - 40 and want <= kept and len(kept - want) <= 0.05 * (len(texts) - len(want))
+
+
+def test_alike_is_brute_force():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in rng.integers(0, 40, 150)]
+    sets += [np.unique(np.append(s[1:], rng.integers(0, 60, 2))) for s in sets]
+    as_sets = [set(s.tolist()) for s in sets]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(as_sets[i] & as_sets[j]) >= 0.8 * len(as_sets[i] | as_sets[j]) - 1e-9]
+    i, j = simhash.alike(sets, 0.8, np.arange(len(sets)))
+    assert near and union_find(len(sets), near) == union_find(len(sets), zip(i.tolist(), j.tolist(), strict=True))
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 def brute_quality(t):
