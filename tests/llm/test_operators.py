@@ -299,6 +299,20 @@ def test_bands():
     assert list(out.kept) == [False, False, True]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.6])
+def test_partly_incompressible_texts_fail(docs, share):
+    import base64
+
+    clean = b" ".join(r.text.encode() for r in docs.where("length(text) between 600 and 6000").orderBy("doc_id").limit(40).select("text").distinct().collect())[:40_960]
+    noise = base64.b64encode(np.random.default_rng(1).bytes(30_000))
+    lines, words = b"\n".join(noise[i : i + 76] for i in range(0, 40_000, 76)), b" ".join(noise[i : i + 8] for i in range(0, 40_000, 8))
+    cut = int(share * len(clean)) // 4096 * 4096
+    out = quality.measure([clean[cut:] + noise[:cut] for noise in (lines, words)])
+    assert list(out.n_bad_chunks > out.n_chunks / 4) == [share > 0] * 2
+    short = quality.measure([words[:n] for n in (300, 600, 900, 2000)])
+    assert not short.base_failed.any() and not short.kept.any()
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("p", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1}, {"a": 97, "b": 2, "c": 1}])
