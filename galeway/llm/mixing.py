@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,16 +15,22 @@ from galeway.llm.common import running_sum, salt_count
 
 #: Bytes of text in a block: the unit that is scheduled.
 BLOCK_BYTES = 1 << 16
-#: Slots in a period: weights are rounded to multiples of 1/RESOLUTION.
-RESOLUTION = 1000
 #: Sources without a weight of their own beyond this number share POOLS common ones by hash.
 MAX_SOURCES, POOLS = 256, 64
+#: Rows of a schedule up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
-def shares(weights: Mapping[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Weights as whole slots of a period of about `resolution` slots, one at least."""
-    total = sum(weights.values())
-    return {s: max(1, round(resolution * w / total)) for s, w in weights.items()}
+def shares(weights: Mapping[str, float], resolution: int | None = None) -> dict[str, int]:
+    """Weights as whole slots of a period: exactly as written in decimals, or rounded to about `resolution` slots, one at least."""
+    if resolution is not None:
+        total = sum(weights.values())
+        return {s: max(1, round(resolution * w / total)) for s, w in weights.items()}
+    exact = {s: Fraction(repr(float(w))) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
 
 
 def edf(p: Mapping[str, int], slots: int | None = None, have: Mapping[str, int] | None = None) -> list[tuple[str, int]]:
@@ -30,11 +40,17 @@ def edf(p: Mapping[str, int], slots: int | None = None, have: Mapping[str, int]
     than t p/P - 1 and fewer than t p/P + 1 blocks. With `have`, it ends when a source has no block left.
     """
     period, done, out = sum(p.values()), dict.fromkeys(p, 0), []
+    due = [(-(-period // p[s]), s) for s in p]  # released blocks by deadline
+    later: list[tuple[int, str]] = []  # others by release
+    heapq.heapify(due)
     for t in range(period if slots is None else slots):
-        due = [(-(-(done[s] + 1) * period // p[s]), s) for s in p if done[s] * period // p[s] <= t]
-        s = min(due)[1]
+        while later and later[0][0] <= t:
+            s = heapq.heappop(later)[1]
+            heapq.heappush(due, (-(-(done[s] + 1) * period // p[s]), s))
+        s = heapq.heappop(due)[1]
         out.append((s, done[s]))
         done[s] += 1
+        heapq.heappush(later, (done[s] * period // p[s], s))
         if have is not None and done[s] >= have[s]:
             break
     return out
@@ -45,7 +61,7 @@ def schedule(p: Mapping[str, int], blocks: Mapping[str, int]) -> tuple[list[tupl
 
     While the same sources have blocks left, whole periods repeat one pattern; the last, partial
     period ends with the first source that runs out, and the others go on with their weights
-    among themselves. phases: (source, phase, first block, block after the last, first slot,
+    among themselves. A partial period has its own pattern, so there are no more rows than blocks. phases: (source, phase, first block, block after the last, first slot,
     share, period); patterns: (phase, source, i, slot) for the i-th block of a period.
     """
     left, at, phases, patterns, phase = {s: n for s, n in blocks.items() if n > 0}, 0, [], [], 0
@@ -56,10 +72,11 @@ def schedule(p: Mapping[str, int], blocks: Mapping[str, int]) -> tuple[list[tupl
         whole = min(left[s] // active[s] for s in left)
         for rounds in ([whole] if whole else []) + [0]:
             order = edf(active, None, None if rounds else left)
-            took = {s: active[s] * rounds if rounds else sum(x == s for x, _ in order) for s in active}
+            count = Counter(s for s, _ in order)
+            took = {s: count[s] * max(1, rounds) for s in active}
             for s in active:
                 if took[s]:
-                    phases.append((s, phase, done[s], done[s] + took[s], at, active[s], period))
+                    phases.append((s, phase, done[s], done[s] + took[s], at, count[s], len(order)))
             patterns += [(phase, s, j, k) for k, (s, j) in enumerate(order)]
             at += period * rounds if rounds else len(order)
             phase += 1
@@ -80,7 +97,7 @@ def _source(c: Column, weights: Mapping[str, float], pooled: bool) -> Column:
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, block_bytes: int = BLOCK_BYTES,
-        resolution: int = RESOLUTION, doc: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, int]:
+        resolution: int | None = None, doc: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, int]:
     """(docs with mix_source, block, slot, start and phase; the number of slots).
 
     Read in the order of (slot, start), the sources interleave with less than one block deviation
@@ -88,7 +105,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     block_bytes of one source's texts (UTF-8, plus 1 each) in a fixed random order; a document
     belongs to the block in which it starts. A null source is the source ""; null texts have
     no bytes but the one; repeated rows follow one another. Weights are relative; sources
-    without one get default_weight; a source with a weight that is not positive gets the least share.
+    without one get default_weight; a source with a weight that is not positive gets 1e-9. Weights are exact; only `resolution` rounds weights.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
@@ -102,12 +119,13 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     rows = rows.withColumn("_k", F.pmod(F.xxhash64("_h"), F.lit(k)))
     rows = running_sum(rows, ["mix_source"], "_k", ["_h", doc], "_b", "start").drop("_b", "_h", "_k")
     rows = rows.withColumn("block", F.expr(f"start div {int(block_bytes)}"))
-    # both tables have a size bound: sources x phases, and slots of a period x phases
+    # neither table has more rows than there are blocks; a period that repeats is there once
+    small = lambda df, rows: F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
     ph = spark.createDataFrame(phases, "s string, phase int, lo long, hi long, first long, share long, period long")
     pt = spark.createDataFrame(patterns, "pphase int, ps string, i long, off long")
-    rows = rows.join(F.broadcast(ph), (F.col("mix_source") == F.col("s")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
+    rows = rows.join(small(ph, phases), (F.col("mix_source") == F.col("s")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
     rows = rows.withColumn("i", F.expr("(block - lo) % share"))
-    rows = rows.join(F.broadcast(pt), (F.col("phase") == F.col("pphase")) & (F.col("mix_source") == F.col("ps")) & (rows["i"] == pt["i"])).drop(pt["i"])
+    rows = rows.join(small(pt, patterns), (F.col("phase") == F.col("pphase")) & (F.col("mix_source") == F.col("ps")) & (rows["i"] == pt["i"])).drop(pt["i"])
     rows = rows.withColumn("slot", F.col("first") + F.expr("(block - lo) div share") * F.col("period") + F.col("off"))
     return rows.drop("s", "lo", "hi", "first", "share", "period", "i", "pphase", "ps", "off"), slots
 

@@ -351,6 +351,15 @@ def test_schedule_places_every_block():
     assert sorted(taken) == list(range(123)) and slots == 123
 
 
+@pytest.mark.parametrize("weights", [{"src0": 5.0} | {f"s{i}": 1.0 for i in range(19)}, {"a": 0.6999, "b": 0.3, "c": 0.0001}, {"a": 1 / 3, "b": 0.123, "c": 2}])
+def test_schedule_keeps_the_given_weights_over_many_periods(weights):
+    total, done = sum(weights.values()), Counter()
+    p = mixing.shares(weights)
+    for t, (s, _) in enumerate(mixing.edf(p, 20_000), 1):
+        done[s] += 1
+        assert t % 97 or all(abs(done[k] - t * w / total) < 1 + 1e-6 for k, w in weights.items())
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 def test_sharding(docs, odd):
