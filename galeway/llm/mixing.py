@@ -8,15 +8,13 @@ from collections import Counter
 from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galeway.llm.common import running_sum, salt_count
 
 #: Bytes of text in a block: the unit that is scheduled.
 BLOCK_BYTES = 1 << 16
-#: Sources without a weight of their own beyond this number share POOLS common ones by hash.
-MAX_SOURCES, POOLS = 256, 64
 #: Rows of a schedule up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -89,13 +87,6 @@ def schedule(p: Mapping[str, int], blocks: Mapping[str, int]) -> tuple[list[tupl
     return phases, patterns, at
 
 
-def _source(c: Column, weights: Mapping[str, float], pooled: bool) -> Column:
-    own = F.coalesce(c, F.lit(""))
-    if not pooled:
-        return own
-    return F.when(own.isin(list(weights)), own).otherwise(F.concat(F.lit("*"), F.pmod(F.xxhash64(own), F.lit(POOLS)).cast("string")))
-
-
 def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1.0, block_bytes: int = BLOCK_BYTES,
         resolution: int | None = None, doc: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, int]:
     """(docs with mix_source, block, slot, start and phase; the number of slots).
@@ -105,17 +96,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     block_bytes of one source's texts (UTF-8, plus 1 each) in a fixed random order; a document
     belongs to the block in which it starts. A null source is the source ""; null texts have
     no bytes but the one; repeated rows follow one another. Weights are relative; sources
-    without one get default_weight; a source with a weight that is not positive gets 1e-9. Weights are exact; only `resolution` rounds weights.
+    without one get default_weight; a source with a weight that is not positive gets 1e-9. Every source is
+    scheduled by its exact weight, however many there are; only `resolution` rounds weights.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
-    counted = docs.select(F.coalesce(F.col(source), F.lit("")).alias("s"), size.alias("b")).groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n"))
-    pooled = counted.count() > MAX_SOURCES
-    totals = counted.groupBy(_source(F.col("s"), weights, pooled).alias("s")).agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect()  # MAX_SOURCES rows at most, besides those with weights
+    own = F.coalesce(F.col(source), F.lit(""))
+    totals = docs.select(own.alias("s"), size.alias("b")).groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n")).collect()  # a row for each source
     p = shares({r.s: max(weights.get(r.s, default_weight), 1e-9) for r in totals} or {"": 1.0}, resolution)
     phases, patterns, slots = schedule(p, {r.s: -(-r.b // block_bytes) for r in totals})
     k = salt_count(sum(r.n for r in totals))
-    rows = docs.withColumns({"mix_source": _source(F.col(source), weights, pooled), "_b": size, "_h": F.xxhash64(doc, text)})
+    rows = docs.withColumns({"mix_source": own, "_b": size, "_h": F.xxhash64(doc, text)})
     rows = rows.withColumn("_k", F.pmod(F.xxhash64("_h"), F.lit(k)))
     rows = running_sum(rows, ["mix_source"], "_k", ["_h", doc], "_b", "start").drop("_b", "_h", "_k")
     rows = rows.withColumn("block", F.expr(f"start div {int(block_bytes)}"))

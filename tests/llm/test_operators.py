@@ -360,6 +360,17 @@ def test_schedule_keeps_the_given_weights_over_many_periods(weights):
         assert t % 97 or all(abs(done[k] - t * w / total) < 1 + 1e-6 for k, w in weights.items())
 
 
+def test_many_sources_keep_their_names_and_weights(spark):
+    df = spark.range(300 * 20).select("id", F.concat(F.lit("src"), F.col("id") % 300).alias("source"), F.lit("x" * 99).alias("text"))
+    mixed, slots = mixing.mix(df, {"src0": 5.0}, block_bytes=100, doc="id")
+    rows = mixed.collect()
+    assert slots == len(rows) == 6000 and all(r.mix_source == r.source for r in rows)
+    assert sorted(r.slot for r in rows) == list(range(6000))
+    for t in (100, 304, 750, 1200):
+        seen = Counter(r.source for r in rows if r.slot < t)
+        assert all(abs(seen[f"src{i}"] - t * (1 if i else 5) / 304) < 1 for i in range(300))
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 def test_sharding(docs, odd):
