@@ -123,7 +123,7 @@ def particle_flow(field: DataFrame, grid: GridSpec, particles: DataFrame | int,
     if isinstance(particles, int):
         particles = generate_particles(spark, grid, particles)
     if grid.ncell > FIELD_CELLS:
-        return relational_flow(field, grid, particles, n_iter, scale, names)
+        return relational_flow(field, grid, particles, n_iter, scale, names, wrap, ignore_speed, metric)
     cells = field.select("row", "col", "u", "v").toPandas()  # FIELD_CELLS rows at most
     u, v = np.full((grid.nrow, grid.ncol), np.nan), np.full((grid.nrow, grid.ncol), np.nan)
     u[cells.row - 1, cells.col - 1], v[cells.row - 1, cells.col - 1] = cells.u, cells.v
@@ -153,18 +153,28 @@ def particle_flow(field: DataFrame, grid: GridSpec, particles: DataFrame | int,
     return particles.mapInPandas(run, "p long, x double, y double, v double, g double, t int")
 
 
-def relational_flow(field: DataFrame, grid: GridSpec, particles: DataFrame, n_iter: int, scale: float, names: Iterable[str]) -> DataFrame:
-    """particle_flow() by joins with the field, for fields that no task should hold (metric compat, no wrap)."""
-    out = None
+def relational_flow(field: DataFrame, grid: GridSpec, particles: DataFrame, n_iter: int, scale: float, names: Iterable[str], wrap: str = "neither",
+                    ignore_speed: bool = False, metric: str = "compat") -> DataFrame:
+    """particle_flow() by joins with the field, for fields that no task should hold."""
+    out, names = None, list(names)
     for name in names:
-        s, at = DIRECTIONS[name], particles.select("p", "x", "y")
+        s, at = DIRECTIONS[name], particles.select("p", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0).alias("passes"))
         for i in range(n_iter + 1):
-            here = cut(sample(at, field, grid, ["p"], ["u", "v"]).where("u is not null and v is not null"))
+            found = sample(at, field, grid, ["p", "passes"], ["u", "v"])
+            here = cut(found.where("u is not null and v is not null and not isnan(u) and not isnan(v)"))
             if not (i == 0 and name == "upwind" and "downwind" in names):
-                rec = here.select("p", "x", "y", geo.speed(F.col("u"), F.col("v")).alias("v"), F.col("p").cast("double").alias("g"), F.lit(i * s).alias("t"))
+                rec = here.select("p", "x", "y", geo.speed(F.col("u"), F.col("v")).alias("v"), (F.col("p") + F.col("passes") / 1000).alias("g"), F.lit(i * s).alias("t"))
                 out = rec if out is None else out.unionByName(rec)
-            dy = F.col("v") * s
-            at = here.select("p", (F.col("x") + F.col("u") * s / geo.aspect(dy) * scale).alias("x"), (F.col("y") + dy * scale).alias("y"))
+            dx, dy = F.col("u") * s, F.col("v") * s
+            if ignore_speed:
+                sp = F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)
+                dx, dy = (F.when(sp > 0, d / sp * (scale if metric == "compat" else 1.0)) for d in (dx, dy))  # calm ends a trail
+            dx = dx / geo.aspect(dy) if metric == "compat" else dx * geo.aspect(F.col("y"))
+            at = here.select("p", (F.col("x") + dx * scale).alias("x"), (F.col("y") + dy * scale).alias("y"), "passes")
+            for c, lo, hi, way in (("x", grid.xmin, grid.xmax, "horizontal"), ("y", grid.ymin, grid.ymax, "vertical")):
+                if wrap in (way, "both"):
+                    turn = F.when(F.col(c) < lo, 1).when(F.col(c) > hi, -1).otherwise(0)
+                    at = at.withColumns({c: F.col(c) + turn * (hi - lo), "passes": F.col("passes") + s * F.abs(turn)})
     return out
 
 

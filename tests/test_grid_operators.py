@@ -114,6 +114,18 @@ def test_particles(spark, small):
     assert particles.trails_to_wkt(particles.particle_flow(field.df, G, start, 2, 0.0)).where("wkt like 'LINESTRING M%'").count() == start.count()
 
 
+@pytest.mark.parametrize("o", [dict(wrap="both"), dict(wrap="horizontal", ignore_speed=True), dict(wrap="vertical", metric="true"), dict(ignore_speed=True, metric="true")])
+def test_flow_forms_agree_for_all_options(spark, small, monkeypatch, o):
+    field, start = small.field(0).df, particles.geo_grid(spark, G, 12)
+    wraps, scale = "wrap" in o, 0.9 if o.get("ignore_speed") else 0.2
+    a = particles.particle_flow(field, G, start, 3, scale, direction="downwind" if wraps else "upwind", **o).toPandas()
+    monkeypatch.setattr(particles, "FIELD_CELLS", 1)
+    b = particles.particle_flow(field, G, start, 3, scale, direction="downwind" if wraps else "upwind", **o).toPandas()
+    key = lambda d: d.sort_values(["p", "t"])[["p", "t", "x", "y", "v", "g"]].to_numpy(float)
+    assert key(a).shape == key(b).shape and np.allclose(key(a), key(b))
+    assert not wraps or (a.g != a.p).any()
+
+
 @pytest.mark.parametrize("o", [dict(), dict(equalarea=False), dict(sample="grid"), dict(sample="grid", equalarea=False)])
 def test_samplers_stay_inside(spark, o):
     p = particles.generate_particles(spark, fx.GRID, 300, **o).toPandas()
