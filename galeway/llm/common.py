@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,14 +31,38 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
             spark.conf.set(key, str(limit))
 
 
+class Packed(NamedTuple):
+    """frame: an operator's columns by its own names, all others as x0_, x1_, ..., which no operator uses; names: the caller's name of each."""
+
+    frame: DataFrame
+    names: dict[str, str]
+
+
+def pack(df: DataFrame, **roles: str) -> Packed:
+    """df with the columns of `roles` (own name = caller's name) under the own names and the others out of the way of all names."""
+    if lost := set(roles.values()) - set(df.columns):
+        raise ValueError(f"no columns {sorted(lost)}")
+    inner = {c: r for r, c in roles.items()}
+    names = {c: inner.get(c, f"x{i}_") for i, c in enumerate(df.columns)}
+    return Packed(df.toDF(*names.values()), names)
+
+
+def unpack(packed: Packed, df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
+    """The caller's columns in their order, with `new` ones in place of those of the same names or after all."""
+    old = {c: F.col(inner) for c, inner in packed.names.items()}
+    return df.select(*(v.alias(c) for c, v in (old | dict(new)).items()))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all of Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='galeway-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,19 +74,30 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/galeway-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may have ended: the folder is temporary anyway
+        pass
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of df now, if materialize() gave it and nothing reads it any more."""
+    if path := df.__dict__.get("written_path"):
+        _written.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
 
 
 def drop_written(keep: int = 0) -> None:
     """Delete tables that materialize() wrote, but for the first `keep`."""
     while len(_written) > keep:
-        spark, path = _written.pop()
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may have ended: the folder is temporary anyway
-            pass
+        _delete(*_written.pop())
 
 
 atexit.register(drop_written)

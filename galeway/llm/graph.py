@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeway.llm.common import materialize
+from galeway.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(edges.where("a != b").select(hi, lo).distinct())
     before = mark(e)
     while before[0]:
-        e = star(e, True).where("a != b").select(hi, lo).distinct()
-        e = materialize(star(e, False).where("a != b").select(hi, lo).distinct())
+        new = star(e, True).where("a != b").select(hi, lo).distinct()
+        new = materialize(star(new, False).where("a != b").select(hi, lo).distinct())
+        discard(e)
+        e = new
         now = mark(e)
         if now == before:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeway.llm.common import WORD, materialize
+from galeway.llm.common import WORD, materialize, pack, unpack
 
 #: A repeated run of lines is deleted if it has so many words.
 MIN_WORDS = 50
@@ -82,19 +82,20 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_wo
     A run is a sequence of lines (split at \\n) of min_words words or more together; the first one
     in the order of (doc, text hash, line) stays. Blank lines don't count, but those inside a run
     go with it. Null texts stay null with no lines; empty ones have one line; null ids sort first;
-    rows equal in id and text are one document, and all get the same result.
+    rows equal in id and text are one document, and all get the same result; an empty table gives none. The lines of a text of any
+    length are compared whole; one document's lines are in one task. Columns n_lines and n_removed are replaced, others stay.
     """
-    runs = repeated_runs(docs, doc, text, min_words).dropDuplicates(["doc", "th", "lo", "hi"])
-    cut = runs.groupBy("doc", "th").agg(F.flatten(F.collect_list(F.sequence("lo", "hi"))).alias("_cut"))
-    cut = cut.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.array_distinct("_cut").alias("_cut"))
-    t = F.col(text)
-    rows = docs.withColumn("_h", F.xxhash64(t))
-    rows = rows.join(cut, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_th")), "left")
-    lines = F.split(t, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
+    held = pack(docs, doc=doc, text=text)
+    runs = repeated_runs(held.frame, "doc", "text", min_words).dropDuplicates(["doc", "th", "lo", "hi"])
+    cut = runs.groupBy("doc", "th").agg(F.flatten(F.collect_list(F.sequence("lo", "hi"))).alias("cut"))
+    cut = cut.select(F.col("doc").alias("c_doc"), F.col("th").alias("c_th"), F.array_distinct("cut").alias("cut"))
+    rows = held.frame.withColumn("th", F.xxhash64("text"))
+    rows = rows.join(cut, F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("cut"))
     new = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    return rows.withColumns({
-        "n_lines": F.coalesce(F.when(t.isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.when(F.col("_cut").isNotNull(), F.size("_cut")), F.lit(0)).cast("long"),
-        text: F.when(F.col("_cut").isNull(), t).otherwise(new),
-    }).drop("_h", "_doc", "_th", "_cut")
+    return unpack(held, rows, {
+        text: F.when(F.col("cut").isNull(), F.col("text")).otherwise(new),
+        "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.when(F.col("cut").isNotNull(), F.size("cut")), F.lit(0)).cast("long"),
+    })

@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeway.llm.common import running_sum, salt_count
+from galeway.llm.common import pack, running_sum, salt_count, unpack
 
 #: Bytes of text in a block: the unit that is scheduled.
 BLOCK_BYTES = 1 << 16
@@ -94,34 +94,37 @@ def mix(docs: DataFrame, weights: Mapping[str, float], default_weight: float = 1
     Read in the order of (slot, start), the sources interleave with less than one block deviation
     from their weights, as long as each has blocks; no row is dropped or repeated. A block is
     block_bytes of one source's texts (UTF-8, plus 1 each) in a fixed random order; a document
-    belongs to the block in which it starts. A null source is the source ""; null texts have
-    no bytes but the one; repeated rows follow one another. Weights are relative; sources
-    without one get default_weight; a source with a weight that is not positive gets 1e-9. Every source is
-    scheduled by its exact weight, however many there are; only `resolution` rounds weights.
+    belongs to the block in which it starts, however long it is. A null source is the source ""; null texts have
+    no bytes but the one; null ids are like any other; repeated rows follow one another; an empty table gives no rows.
+    Weights are relative; sources without one get default_weight; a source with a weight that is not positive gets 1e-9.
+    Every source is scheduled by its exact weight, however many there are; only `resolution` rounds weights.
+    Columns of the five names are replaced, others stay.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1
-    own = F.coalesce(F.col(source), F.lit(""))
-    totals = docs.select(own.alias("s"), size.alias("b")).groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n")).collect()  # a row for each source
+    held = pack(docs, doc=doc, text=text, source=source)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    rows = held.frame.withColumns({"s": F.coalesce("source", F.lit("")), "b": size, "h": F.xxhash64("doc", "text")})
+    totals = rows.groupBy("s").agg(F.sum("b").alias("b"), F.count("*").alias("n")).collect()  # a row for each source
     p = shares({r.s: max(weights.get(r.s, default_weight), 1e-9) for r in totals} or {"": 1.0}, resolution)
     phases, patterns, slots = schedule(p, {r.s: -(-r.b // block_bytes) for r in totals})
     k = salt_count(sum(r.n for r in totals))
-    rows = docs.withColumns({"mix_source": own, "_b": size, "_h": F.xxhash64(doc, text)})
-    rows = rows.withColumn("_k", F.pmod(F.xxhash64("_h"), F.lit(k)))
-    rows = running_sum(rows, ["mix_source"], "_k", ["_h", doc], "_b", "start").drop("_b", "_h", "_k")
-    rows = rows.withColumn("block", F.expr(f"start div {int(block_bytes)}"))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("h"), F.lit(k)))
+    rows = running_sum(rows, ["s"], "k", ["h", "doc"], "b", "start").withColumn("block", F.expr(f"start div {int(block_bytes)}"))
     # neither table has more rows than there are blocks; a period that repeats is there once
     small = lambda df, rows: F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
-    ph = spark.createDataFrame(phases, "s string, phase int, lo long, hi long, first long, share long, period long")
-    pt = spark.createDataFrame(patterns, "pphase int, ps string, i long, off long")
-    rows = rows.join(small(ph, phases), (F.col("mix_source") == F.col("s")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
+    ph = spark.createDataFrame(phases, "ps string, phase int, lo long, hi long, first long, share long, period long")
+    pt = spark.createDataFrame(patterns, "pphase int, pps string, pi long, off long")
+    rows = rows.join(small(ph, phases), (F.col("s") == F.col("ps")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
     rows = rows.withColumn("i", F.expr("(block - lo) % share"))
-    rows = rows.join(small(pt, patterns), (F.col("phase") == F.col("pphase")) & (F.col("mix_source") == F.col("ps")) & (rows["i"] == pt["i"])).drop(pt["i"])
-    rows = rows.withColumn("slot", F.col("first") + F.expr("(block - lo) div share") * F.col("period") + F.col("off"))
-    return rows.drop("s", "lo", "hi", "first", "share", "period", "i", "pphase", "ps", "off"), slots
+    rows = rows.join(small(pt, patterns), (F.col("phase") == F.col("pphase")) & (F.col("s") == F.col("pps")) & (F.col("i") == F.col("pi")))
+    slot = F.col("first") + F.expr("(block - lo) div share") * F.col("period") + F.col("off")
+    new = {"mix_source": F.col("s"), "block": F.col("block"), "slot": slot, "start": F.col("start"), "phase": F.col("phase")}
+    return unpack(held, rows, new), slots
 
 
 def write_order(mixed: DataFrame, slots: int, parts: int) -> DataFrame:
     """mixed dealt to `parts` partitions by ranges of slots and sorted: its files hold the mix in order."""
+    held = pack(mixed, slot="slot", start="start")
     part = F.expr(f"cast(slot * {int(parts)} div {max(1, int(slots))} as int)")
-    return mixed.withColumn("_part", part).repartitionById(parts, F.col("_part")).sortWithinPartitions("slot", "start").drop("_part")
+    dealt = held.frame.withColumn("part", part).repartitionById(parts, F.col("part")).sortWithinPartitions("slot", "start")
+    return unpack(held, dealt, {})

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeway.llm.common import small_batches
+from galeway.llm.common import pack, small_batches, unpack
 
 #: Compressor level, and bytes of the fixed chunks.
 LEVEL, CHUNK = 3, 4096
@@ -114,8 +114,12 @@ def judge(text: Column) -> Column:
 
 
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of SCHEMA. Row by row: ids, repeated rows and other columns don't matter; columns of the same names are replaced."""
+    """docs with the columns of SCHEMA.
+
+    Row by row: row ids, ties and repeated rows don't matter, an empty table gives none; a null or empty text has no words and
+    isn't kept; a text of any length is measured whole, in one task. Columns of the names in SCHEMA are replaced, others stay.
+    """
     small_batches(docs.sparkSession)
-    q = docs.withColumn("_q", judge(F.col(text)))
+    held = pack(docs, text=text)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return q.withColumns({n: F.col(f"_q.{n}") for n in names}).drop("_q")
+    return unpack(held, held.frame.withColumn("q", judge(F.col("text"))), {n: F.col(f"q.{n}") for n in names})

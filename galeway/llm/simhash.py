@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeway.llm.common import materialize, small_batches
+from galeway.llm.common import materialize, pack, small_batches, unpack
 from galeway.llm.graph import components
 from galeway.llm.quality import steps
 
@@ -425,10 +425,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     marks = found.where("b is null").select(F.col("a").alias("node"), "key")
     pairs = materialize(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    body = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), text)
+    body = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), F.col(text).alias("text"))
     pick = texts.join(nodes, "node", "left_semi").select("node", F.col("least").alias("doc"))
     one = body.join(pick, (body["node"] == pick["node"]) & body["doc"].eqNullSafe(pick["doc"]), "left_semi")
-    sets = materialize(one.select("node", _sets(shingle)(F.col(text)).alias("h")).dropDuplicates(["node"]))
+    sets = materialize(one.select("node", _sets(shingle)(F.col("text")).alias("h")).dropDuplicates(["node"]))
     sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     union = F.size("ha") + F.size("hb") - common
@@ -444,13 +444,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near_duplicates(): that with the smallest id (null ids last), then MD5.
 
-    Texts without a word form one group. All columns stay.
+    Texts without a word, null or not, form one group; of rows equal in id and text one stays; an empty table gives none. Texts of
+    any length are compared whole. All columns stay, whatever their names.
     """
     groups = near_duplicates(docs, shingle, similarity, doc, text)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "node")).alias("k"))
-    keep = best.select(F.col("k.node").alias("_node"), F.col("k.least").alias("_least"))
-    rows = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    out = rows.join(keep, (F.col("_md5") == F.col("_node")) & F.col(doc).eqNullSafe(F.col("_least")), "left_semi")
+    keep = best.select(F.col("k.node").alias("node"), F.col("k.least").alias("least"))
+    held = pack(docs, doc=doc, text=text)
+    rows = held.frame.withColumn("md5", F.md5(F.coalesce("text", F.lit(""))))
+    out = rows.join(keep, (F.col("md5") == F.col("node")) & F.col("doc").eqNullSafe(F.col("least")), "left_semi")
     # rows equal in id and text are rare, but only one of them may stay
-    twice = docs.groupBy(doc, F.xxhash64(text)).agg(F.count("*").alias("n")).where("n > 1")
-    return (out if twice.isEmpty() else out.dropDuplicates([doc, "_md5"])).drop("_md5")
+    twice = held.frame.groupBy("doc", F.xxhash64("text")).agg(F.count("*").alias("n")).where("n > 1")
+    return unpack(held, out if twice.isEmpty() else out.dropDuplicates(["doc", "md5"]), {})

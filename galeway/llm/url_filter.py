@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeway.llm.common import ascii_lower
+from galeway.llm.common import ascii_lower, pack, unpack
 
 #: (action, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -51,9 +51,9 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest
     rule wins, and block before allow among equally long ones. A url that is null or has no ://
-    has an empty host and path, which no rule fits. Every row is kept; equal urls are judged once.
-    Expressions go no deeper than the deepest rule, which loses none. Columns of `pages` named
-    as the new ones are replaced.
+    has an empty host and path, which no rule fits; ties and repeated rows are judged alike, and every row is kept;
+    an empty table gives none. Equal urls are judged once. A url of any length is judged whole: its expressions
+    go no deeper than the deepest rule, which loses none. Columns of the names host, path, rule and verdict are replaced, others stay.
     """
     spark = pages.sparkSession
     rules = rules if rules is not None else spark.createDataFrame(RULES, "action string, host string, path string")
@@ -62,8 +62,9 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
         F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(1)).alias("labels"),
         F.coalesce(F.max(F.size(F.split("r_key", "/")) - 1), F.lit(0)).alias("depth"),
     ).first()
-    host, path = split_url(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path})
+    held = pack(pages, url=url)
+    host, path = split_url(F.col("url"))
+    rows = held.frame.withColumns({"host": host, "path": path})
     sites = rows.select("host", "path").distinct()
     e = sites.select("host", "path", F.explode(F.array_distinct(expressions(F.col("host"), F.col("path"), most.labels, most.depth))).alias("expr"))
     e = e.withColumn("u_digest", F.sha2("expr", 256)).withColumn("u_prefix", F.substring("u_digest", 1, PREFIX))
@@ -72,6 +73,6 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     # digests confirm the expression; the strings settle what a digest over a joined host and path can't
     fits = (F.col("u_digest") == F.col("digest")) & F.col("path").startswith(F.col("r_path")) & ((F.col("host") == F.col("r_host")) | F.col("host").endswith(F.concat(F.lit("."), "r_host")))
     best = hits.where(fits).groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "block").alias("b"), "rule", "action")).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("best.rule").alias("_rule"), F.col("best.action").alias("_action"))
-    out = rows.drop("rule", "verdict").join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
-    return out.withColumns({"rule": F.col("_rule"), "verdict": F.coalesce("_action", F.lit(default))}).drop("b_host", "b_path", "_rule", "_action")
+    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
+    out = rows.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    return unpack(held, out, {"host": F.col("host"), "path": F.col("path"), "rule": F.col("best.rule"), "verdict": F.coalesce("best.action", F.lit(default))})
