@@ -30,8 +30,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return secrets.digest(findings)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/galeway-ledger-{uuid.uuid4().hex}"
+    ledger = secrets.Ledger(spark, path).update(docs)
+    _written.append((spark, path))
+    return secrets.digest(secrets.findings(docs, ledger))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +117,7 @@ FROM cut c LEFT JOIN per ON c.doc_id = per.doc_id LEFT JOIN rest ON c.doc_id = r
 
 
 def _kind_sql(kind: str, rank: int) -> str:
-    pattern, group, least = secrets.RULES[kind]
+    pattern, group, least = secrets.KINDS[kind]
     p = pattern.replace("'", "''")
     return f"""
   SELECT doc_id, {rank} AS rank, '{kind}' AS kind, len(g[i]) >= {least} AS ok,
@@ -124,13 +127,14 @@ def _kind_sql(kind: str, rank: int) -> str:
 
 
 OP4_SQL = f"""
-WITH spans AS ({" UNION ALL ".join(_kind_sql(k, i) for i, k in enumerate(secrets.RULES))}),
+WITH spans AS ({" UNION ALL ".join(_kind_sql(k, i) for i, k in enumerate(secrets.KINDS))}),
 joined AS (
-  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.RULES)},
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)},
+    string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rank) FILTER (kind IN ({", ".join(f"'{k}'" for k in secrets.BASE)})) AS base,
     string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, rank) AS spans
   FROM spans WHERE ok GROUP BY doc_id
 )
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN joined ON d.doc_id = joined.doc_id
 """
 
