@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeway.llm import line_dedup, mixing, pieces, quality, simhash
-from galeway.llm.common import materialize, small_batches, table
+from galeway.llm.common import materialize, pack, small_batches, table, unpack
 from galeway.llm.token_files import vocabulary
 
 #: Relative weights of sources; others have 1.
@@ -15,34 +15,60 @@ WEIGHTS = {"src0": 5.0}
 PIECES = "piece_bpe_32k.model"
 
 
+def _documents(docs: DataFrame):
+    return pack(docs, doc_id="doc_id", text="text", source="source")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep.
+
+    Row by row, each text whole: a null or empty text goes, as it has no words; repeated rows fare alike; other columns, whatever their
+    names, stay; an empty table gives none.
+    """
     small_batches(spark)
-    return docs.withColumn("_q", quality.judge(F.col("text"))).where("_q.kept").select(docs.columns)
+    return docs.where(quality.judge(F.col("text"))["kept"]).select(docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of runs of lines of line_dedup.MIN_WORDS words or more."""
-    out = line_dedup.dedup_lines(docs)
+    """All documents, without later copies of runs of whole lines of line_dedup.MIN_WORDS words or more; n_chars follows the text.
+
+    Of equal runs that with the smallest (id, text hash, line) stays; null ids come first; null and empty texts stay as they are;
+    rows equal in id and text get the same result; other columns, whatever their names, stay; an empty table gives none.
+    """
+    held = _documents(docs)
+    out, new = line_dedup.dedup_lines(held.frame), {}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        old = held.names["n_chars"]
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(old))
+    return unpack(held, out, new)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8)."""
-    return simhash.keep_one(docs).select(docs.columns)
+    """One document of each group of near copies (five words, similarity 0.8): that with the smallest id, null ids last.
+
+    Null, empty and blank texts form one group; of rows equal in id and text one stays; texts are compared whole; other
+    columns, whatever their names, stay; an empty table gives none.
+    """
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: the files of the result hold it, one range of slots each."""
-    mixed, slots = mixing.mix(docs, WEIGHTS)
-    return mixing.write_order(mixed, slots, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(docs.columns)
+    """All documents in the order of the mix: the files of the result hold it, one range of slots each.
+
+    A null source is one of its own; null texts count one byte; repeated rows follow one another; a text of any length lies in the block where
+    it starts; other columns, whatever their names, stay; an empty table gives none.
+    """
+    held = _documents(docs)
+    mixed, slots = mixing.mix(held.frame, WEIGHTS)
+    return unpack(held, mixing.write_order(mixed, slots, int(spark.conf.get("spark.sql.shuffle.partitions"))), {})
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and n_tokens of every document."""
-    return pieces.tokenize(docs, vocabulary(PIECES)).select("doc_id", "source", "ids", "n_tokens")
+    """doc_id, source, ids and n_tokens of every document.
+
+    Row by row, each text whole: a null or empty text has no ids; repeated rows fare alike; other columns go; an empty table gives none.
+    """
+    return pieces.tokenize(docs.select("doc_id", "source", "text"), vocabulary(PIECES)).select("doc_id", "source", "ids", "n_tokens")
 
 
 STAGES = [
