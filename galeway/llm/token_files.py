@@ -7,22 +7,26 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeway.llm.chunks import ChunkCoder, shared, text_steps
+from galeway.llm.chunks import STEP, ChunkCoder, gathered, joined, shared, text_steps
 from galeway.llm.common import small_batches
 
 #: Tokens after which a block ends; one whole document at least.
 BLOCK_TOKENS = 1 << 18
 #: Chunks that are encoded as one text.
 GROUP = 64
+#: A part's last character, where a cut may follow: none of these is white space.
+SAFE_END = r"[!-~\pL\pM\pN\pP\pS]$"
 #: The id after each document.
 END = 0
 #: Ones between the sampled positions of the select structure.
 SAMPLE = 256
+BLOCKS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("at", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("block", pa.binary())])
 MAGIC, HEAD = b"GWTB1\0\0\0", "<8sIQQQqII"
 
 
@@ -87,14 +91,13 @@ class EliasFano:
         return ((at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | low
 
 
-def pack(docs: list[int | None], ids: list[bytes], width: int) -> bytes:
+def pack(docs: list[int | None], ends: np.ndarray, tokens: np.ndarray) -> bytes:
     """A block: header, ids of the documents (nulls come first and are only counted), ends of the documents, token ids."""
     known = np.array([d for d in docs if d is not None], np.int64)
     base = int(known[0]) if len(known) else 0
-    ends = np.cumsum([len(x) // width for x in ids])
     doc_part = EliasFano.encode(known.view(np.uint64) - np.array(base, np.int64).view(np.uint64)).to_bytes()
     end_part = EliasFano.encode(ends).to_bytes()
-    return struct.pack(HEAD, MAGIC, width, len(docs), len(docs) - len(known), int(ends[-1]), base, len(doc_part), len(end_part)) + doc_part + end_part + b"".join(ids)
+    return struct.pack(HEAD, MAGIC, tokens.itemsize, len(docs), len(docs) - len(known), int(ends[-1]), base, len(doc_part), len(end_part)) + doc_part + end_part + tokens.tobytes()
 
 
 class Block:
@@ -114,6 +117,7 @@ class Block:
         return [None] * self.nulls + known.tolist()
 
     def ids(self, i: int) -> np.ndarray:
+        """The tokens of the i-th document, by two selects."""
         return self.tokens[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
@@ -128,26 +132,27 @@ class ByteBpe(ChunkCoder):
 
         self.model = Tokenizer.from_str(model)
         n = self.model.get_vocab_size()
-        super().__init__("<u2" if n <= 1 << 16 else "<u4", 1_200_000)
+        super().__init__("<u2" if n <= 1 << 16 else "<u4", 1_500_000)
         self.leads = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
 
-    def open_end(self, part: str) -> bool:
-        return not part or part[-1].isspace()
-
-    def fresh(self, chunks: list[str], plain: bool) -> list[bytes]:
-        if plain:  # short texts of some chunks; each chunk begins with the only tokens that begin with a space
-            out: list[bytes] = []
-            groups = [chunks[i : i + GROUP] for i in range(0, len(chunks), GROUP)]
-            for group, e in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.dtype)
-                at = np.flatnonzero(self.leads[ids])
-                if len(at) != len(group) or at[0]:
-                    out += self.fresh(group, False)
-                    continue
-                raw, cut = ids.tobytes(), (np.append(at, len(ids)) * self.dtype.itemsize).tolist()
-                out += [raw[a:b] for a, b in zip(cut, cut[1:])]
-            return out
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch(chunks, add_special_tokens=False)]
+    def open_ends(self, parts: pa.Array) -> np.ndarray:
+        return ~pc.match_substring_regex(parts, SAFE_END).to_numpy(zero_copy_only=False)
+
+    def fresh_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(parts):
+            return self.fresh([])
+        # texts of GROUP parts: each part begins with the only tokens that begin with a space
+        at = np.append(np.arange(0, len(parts), GROUP), len(parts)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), parts), " ").to_pylist()
+        ids, sizes = joined([np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.dtype)
+        first = np.flatnonzero(self.leads[ids])
+        per = np.searchsorted(first, np.cumsum(sizes))
+        if (np.diff(per, prepend=0) != np.diff(at)).any() or (first[at[:-1]] != np.cumsum(sizes) - sizes).any():
+            return super().fresh_parts(parts)
+        return ids, np.diff(np.append(first, len(ids)))
+
+    def fresh(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return joined([np.array(e.ids, self.dtype) for e in self.model.encode_batch(chunks, add_special_tokens=False)], self.dtype)
 
 
 def vocabulary(name: str) -> str:
@@ -168,33 +173,36 @@ def encode_blocks(docs: DataFrame, model_path: str, doc: str = "doc_id", text: s
         key = zlib.crc32((content := f.read()).encode())
         model = docs.sparkSession.sparkContext.broadcast(content)  # a few MB, whatever the input
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared(f"ByteBpe {key}", lambda: ByteBpe(model.value))
-        end = np.array([END], coder.dtype).tobytes()
-        width, part, seq, at = coder.dtype.itemsize, TaskContext.get().partitionId(), 0, 0
-        held_docs, held, size = [], [], 0
-
-        def block():
-            return pd.DataFrame({"part": [part], "seq": [seq], "at": [at], "n_docs": [len(held)], "n_tokens": [size], "block": [pack(held_docs, held, width)]})
-
-        for pdf in batches:
-            ids, n = pdf["doc"].tolist(), 0
-            for texts in text_steps(pdf["text"]):
-                for x in coder.code(texts):
-                    d = ids[n]
-                    held_docs.append(None if d is None or d != d else int(d))
-                    held.append(x + end)
-                    size, n = size + len(held[-1]) // width, n + 1
-                    if size >= BLOCK_TOKENS:
-                        yield block()
-                        seq, at, held_docs, held, size = seq + 1, at + size, [], [], 0
-        if held:
-            yield block()
+        part, seq, at = TaskContext.get().partitionId(), 0, 0
+        docs, tokens, ends = [], np.zeros(0, coder.dtype), np.zeros(0, np.int64)
+
+        def block(n: int) -> pa.RecordBatch:
+            row = {"part": [part], "seq": [seq], "at": [at], "n_docs": [n], "n_tokens": [int(ends[n - 1])], "block": [pack(docs[:n], ends[:n], tokens[: ends[n - 1]])]}
+            return pa.RecordBatch.from_pydict(row, BLOCKS)
+
+        for batch in gathered(batches, "text", STEP):
+            ids, n = batch["doc"].to_pylist(), 0
+            for texts in text_steps(batch["text"]):
+                coded, stop = coder.code(texts)
+                more = np.full(len(coded) + len(stop), END, coder.dtype)
+                more[np.arange(len(coded)) + np.repeat(np.arange(len(stop)), np.diff(stop, prepend=0))] = coded
+                ends = np.concatenate([ends, len(tokens) + stop + np.arange(1, len(stop) + 1)])
+                tokens = np.concatenate([tokens, more])
+                docs += ids[n : n + len(stop)]
+                n += len(stop)
+                while len(tokens) >= BLOCK_TOKENS:
+                    k = int(np.searchsorted(ends, BLOCK_TOKENS)) + 1
+                    yield block(k)
+                    cut = int(ends[k - 1])
+                    seq, at, docs, tokens, ends = seq + 1, at + cut, docs[k:], tokens[cut:], ends[k:] - cut
+        if docs:
+            yield block(len(docs))
 
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), F.crc32(text).alias("tie"))
     rows = rows.repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie")
-    # null ids as text: pandas has no null long
-    return rows.select(F.col("doc").cast("string").alias("doc"), "text").mapInPandas(run, "part int, seq int, at long, n_docs long, n_tokens long, block binary")
+    return rows.select("doc", "text").mapInArrow(run, "part int, seq int, at long, n_docs long, n_tokens long, block binary")
 
 
 def write_blocks(docs: DataFrame, path: str, model_path: str, doc: str = "doc_id", text: str = "text") -> None:
@@ -213,19 +221,16 @@ def read_blocks(spark, path: str, with_ids: bool = False) -> DataFrame:
     starts = totals.select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("first"))
     rows = blocks.join(F.broadcast(starts), "part").select((F.col("first") + F.col("at")).alias("start"), "block")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start, raw in zip(pdf["start"], pdf["block"], strict=True):
-                b = Block(raw)
-                ends = b.ends.values().astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, raw in zip(batch["start"].to_pylist(), batch["block"], strict=True):
+                b = Block(memoryview(raw.as_buffer()))
+                ends = np.array([b.ends.select(i) for i in range(b.n)], np.int64)
                 firsts = np.concatenate([[0], ends[:-1]])
                 wide = b.tokens.astype("<u4")
-                out = pd.DataFrame({
-                    "doc_id": pd.array(b.doc_ids(), dtype="Int64"), "start": start + firsts, "n_tokens": ends - firsts,
-                    "ids_crc32": [zlib.crc32(wide[a:e]) for a, e in zip(firsts.tolist(), ends.tolist())],
-                })
+                out = [pa.array(b.doc_ids(), pa.int64()), pa.array(start + firsts), pa.array(ends - firsts), pa.array([zlib.crc32(wide[a:e]) for a, e in zip(firsts.tolist(), ends.tolist(), strict=True)], pa.int64())]
                 if with_ids:
-                    out["ids"] = [wide[a:e].astype(np.int32) for a, e in zip(firsts.tolist(), ends.tolist())]
-                yield out
+                    out.append(pa.array([b.ids(i).astype(np.int32) for i in range(b.n)], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return rows.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
