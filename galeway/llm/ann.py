@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a shard; edges of a node; beam when building and when searching; slack of the pruning.
-SHARD_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 32, 48, 96, 1.2
+SHARD_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 32, 48, 128, 1.2
+#: A shard holds this many times the root of the number of vectors if that is more than SHARD_ROWS, so that queries times shards grow with the power 1.5.
+ROOT = 16
 #: Queries that search at once, which bounds memory.
 BLOCK = 512
 
@@ -95,11 +97,12 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
             edges[of] = prune(x, of, np.hstack([found, edges[of]]), degree, a)
             src, dst = np.repeat(of, degree), edges[of].ravel()
             src, dst = src[dst >= 0], dst[dst >= 0]
-            by = np.argsort(dst, kind="stable")
-            nodes, first = np.unique(dst[by], return_index=True)
+            by = np.lexsort((((x[src] - x[dst]) ** 2).sum(1), dst))  # a node's nearest reverse edges first
+            nodes, first, count = np.unique(dst[by], return_index=True, return_counts=True)
+            place = np.arange(len(by)) - np.repeat(first, count)
             back = np.full((len(nodes), 2 * degree), -1, np.int32)
-            for r, part in enumerate(np.split(src[by], first[1:])):
-                back[r, : min(len(part), 2 * degree)] = part[: 2 * degree]
+            near = place < 2 * degree
+            back[np.repeat(np.arange(len(nodes)), count)[near], place[near]] = src[by][near]
             edges[nodes] = prune(x, nodes, np.hstack([edges[nodes], back]), degree, a)
     return edges
 
@@ -126,7 +129,8 @@ class Shard:
         self.ids, self.first = ids[by], np.searchsorted(inverse[by], np.arange(len(self.x) + 1))
         self.k, self.beam, self.f = k, max(beam, k + 1), self.x.astype(np.float32)
         self.edges = build(self.f, degree)
-        self.starts = entry_points(self.f)
+        # searches also start at the longest vectors, which inner products favour
+        self.starts = np.unique(np.append(entry_points(self.f), np.argsort(-(self.f**2).sum(1), kind="stable")[: self.beam - 32]))
 
     def search(self, ids: np.ndarray, q: np.ndarray) -> pd.DataFrame:
         out = []
@@ -138,11 +142,13 @@ class Shard:
             for r in range(len(qi)):
                 nodes = found[r][found[r] >= 0]
                 s = score[r][: len(nodes)]
-                # copies of a vector: the k + 1 smallest ids of each, as one may be the query's own
-                parts = [self.ids[self.first[v] : min(self.first[v + 1], self.first[v] + self.k + 1)] for v in nodes]
+                # of the copies of a vector the k smallest ids but the query's own, which may be there more than once
+                parts = []
+                for v in nodes:
+                    same = self.ids[self.first[v] : self.first[v + 1]]
+                    a, b = np.searchsorted(same, [own[r], own[r] + 1])
+                    parts.append(np.concatenate([same[: min(a, self.k)], same[b : b + self.k]])[: self.k])
                 flat, s = np.concatenate(parts), np.repeat(s, [len(p) for p in parts])
-                keep = flat != own[r]
-                flat, s = flat[keep], s[keep]
                 top = np.lexsort((flat, -s))[: self.k]
                 out.append((own[r], flat[top], s[top]))
         return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
@@ -170,11 +176,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
             shard_rows: int = SHARD_ROWS, beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of `vectors` with the largest inner product found for each query, but its own id.
 
-    Each shard holds about shard_rows vectors by a hash of the id; rows arrive first, the shard's
+    Each shard holds about shard_rows vectors by a hash of the id, or ROOT times the root of their number if that is more; rows arrive first, the shard's
     graph is built, then the queries stream through it in blocks, so a task holds one shard and
     one block. Vectors that are null, zero, or hold null or non-finite components take no part,
-    nor do null ids; vectors of another length are a space of their own. Equal vectors share a node, ties
-    go to the smaller id, repeated ids give repeated rows, an empty table gives none.
+    nor do null ids; vectors of another length, however great, are a space of their own. Equal vectors share a node, ties
+    go to the smaller id; repeated rows of `vectors` give repeated results; of `queries` with one id only the one with the
+    least vector asks; other columns don't matter; an empty table gives no rows.
     """
     e = F.col(embedding)
     fine = e.isNotNull() & F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.exists(e, lambda v: v != 0)
@@ -182,9 +189,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     def clean(df):
         return df.where(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), e.cast("array<double>").alias("v"), F.size(e).alias("dim"))
 
-    rows, asks = clean(vectors), clean(queries)
+    rows = clean(vectors)
+    asks = clean(queries).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("one")).select("vec_id", "one.v", "one.dim")
     counts = rows.groupBy("dim").agg(F.count("*").alias("n"))
-    shards = counts.select("dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("of"))  # a row for each length of vectors
+    shards = counts.select("dim", F.ceil(F.col("n") / F.greatest(F.lit(shard_rows), F.lit(ROOT) * F.sqrt("n"))).cast("int").alias("of"))  # a row for each length of vectors
     rows = rows.join(F.broadcast(shards), "dim").select(F.struct("dim", F.pmod(F.xxhash64("vec_id"), F.col("of")).cast("int").alias("s")).alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
     asks = asks.join(F.broadcast(shards), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("s"), "vec_id", "v")
     asks = asks.select(F.struct("dim", "s").alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
