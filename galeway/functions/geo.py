@@ -123,3 +123,14 @@ def np_equal_earth_inverse(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np
         t = t - (a4 * t**9 + a3 * t**7 + a2 * t**3 + a1 * t - y / _R) / (9 * a4 * t**8 + 7 * a3 * t**6 + 3 * a2 * t**2 + a1)
     lon = 3 * x / _R * (9 * a4 * t**8 + 7 * a3 * t**6 + 3 * a2 * t**2 + a1) / (2 * np.sqrt(3) * np.cos(t))
     return np.degrees(lon), np.degrees(np.arcsin(np.clip(2 * np.sin(t) / np.sqrt(3), -1, 1)))
+
+
+def equal_earth_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """(longitude, latitude) of projected metres, by Newton steps on the parametric latitude."""
+    a1, a2, a3, a4 = _EE
+    slope = lambda t: 9 * a4 * F.pow(t, F.lit(8)) + 7 * a3 * F.pow(t, F.lit(6)) + 3 * a2 * t * t + a1
+    height = lambda t: a4 * F.pow(t, F.lit(9)) + a3 * F.pow(t, F.lit(7)) + a2 * F.pow(t, F.lit(3)) + a1 * t
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(12)), y / _R, lambda t, _: t - (height(t) - y / _R) / slope(t))
+    one = lambda v: F.transform(F.array(t), v)[0]  # noqa: E731  t is worked out once for each use
+    lon = one(lambda t: F.degrees(3 * x / _R * slope(t) / (2 * F.sqrt(F.lit(3.0)) * F.cos(t))))
+    return lon, one(lambda t: F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * F.sin(t) / F.sqrt(F.lit(3.0)))))))

@@ -113,3 +113,25 @@ def tesselate(df: DataFrame, grid: GridSpec, width: float = 20.0) -> tuple[DataF
     east = df.where(F.col("col") <= n).withColumn("col", F.col("col") + grid.ncol)
     both = west.unionByName(df).unionByName(east).withColumn("col", (F.col("col") + n).cast("int"))
     return both.withColumns({"cell": new.cell(F.col("row"), F.col("col")), "x": new.x(F.col("col"))}), new
+
+
+def merge(df: DataFrame, grid: GridSpec, other: DataFrame, other_grid: GridSpec, values: list[str]) -> tuple[DataFrame, GridSpec]:
+    """Both grids on one that covers them, cells of which `df` has the values, or where those are null or absent, `other`.
+
+    The grids must have one resolution and lie on the same cell edges. Each value is judged by itself.
+    """
+    xres, yres = grid.xres, grid.yres
+    off = ((other_grid.xmin - grid.xmin) / xres, (other_grid.ymax - grid.ymax) / yres)
+    if not (math.isclose(xres, other_grid.xres) and math.isclose(yres, other_grid.yres)) or any(abs(z - round(z)) > 1e-6 for z in off):
+        raise ValueError("the grids don't line up")
+    xmin, ymax = min(grid.xmin, other_grid.xmin), max(grid.ymax, other_grid.ymax)
+    xmax, ymin = max(grid.xmax, other_grid.xmax), min(grid.ymin, other_grid.ymin)
+    new = GridSpec(round((ymax - ymin) / yres), round((xmax - xmin) / xres), xmin, xmax, ymin, ymax)
+
+    def placed(d: DataFrame, g: GridSpec, first: int) -> DataFrame:
+        row, col = F.col("row") + round((ymax - g.ymax) / yres), F.col("col") + round((g.xmin - xmin) / xres)
+        return d.select(new.cell(row, col).alias("cell"), F.struct(F.lit(first).alias("first"), *values).alias("v"))
+
+    both = placed(df, grid, 0).unionByName(placed(other, other_grid, 1))
+    pick = lambda c: F.min(F.when(F.col(f"v.{c}").isNotNull(), F.struct(F.col("v.first").alias("f"), F.col(f"v.{c}").alias("z"))))["z"].alias(c)
+    return new.with_coords(both.groupBy("cell").agg(*map(pick, values))), new

@@ -18,6 +18,11 @@ def _km(metric: str, *c: Column) -> Column:
     return geo.geodesic(*c)["km"] if metric == "geodesic" else geo.haversine_km(*c)
 
 
+def kilometres(x1: str, y1: str, x2: str, y2: str, metric: str = "geodesic") -> Column:
+    """Kilometres between the points of two pairs of columns."""
+    return _km(metric, F.col(x1), F.col(y1), F.col(x2), F.col(y2))
+
+
 def point_distance(sites: DataFrame, metric: str = "geodesic") -> DataFrame:
     """i, j, value: kilometres between all sites (site, x, y); the matrix is the result."""
     pairs = sites.toDF("i", "x1", "y1").crossJoin(sites.toDF("j", "x2", "y2"))

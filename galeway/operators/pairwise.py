@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galeway.plans.iterate import cut
+
 #: What a permuted statistic must fall short by to count as smaller.
 EPS = float(np.sqrt(np.finfo(float).eps))
 
@@ -44,10 +46,18 @@ def residuals(pairs: DataFrame, y: str, controls: list[str]) -> DataFrame:
 
 
 def average_rank(pairs: DataFrame, c: str) -> DataFrame:
-    """c replaced by its rank, ties by the mean of theirs: counts by value, summed in order of value, joined back."""
+    """c replaced by its rank, ties by the mean of theirs.
+
+    Counts by value are dealt by ranges of values and written, so that ranges stay as they are; they are summed within each range, and
+    only the ranges' totals, a row each, in one place.
+    """
     counts = pairs.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("_v", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias("_r"))
+    counts = cut(counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("_p").agg(F.sum("_n").alias("_t"))
+    parts = parts.select("_p", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    inside = counts.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(parts), "_p")
+    ranks = inside.select("_v", (F.col("_s") + F.col("_b") + (F.col("_n") + 1) / 2).alias("_r"))
     return pairs.join(ranks, F.col(c) == F.col("_v")).withColumn(c, F.col("_r")).drop("_v", "_r")
 
 

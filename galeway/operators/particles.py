@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeway.functions import geo
@@ -48,6 +48,11 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(pts) + chain(pts[::-1]))
 
 
+def uniform(seed: int, key: str) -> Column:
+    """A number in 0..1 by row id: the first 52 bits of md5(seed:key:id), so the same whatever task works it out."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{key}:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def generate_particles(spark: SparkSession, grid: GridSpec, n: int = 1000, sample: str = "random", equalarea: bool = True, epsg: int = 8857, expand: float = 0.25, seed: int = 1) -> DataFrame:
     """p, x, y. random: n points, uniform in degrees or (equalarea) on the sphere, latitudes by the inverse of their area;
     grid: regular in degrees, or in the Equal Earth projection inside the hull of the domain."""
@@ -56,25 +61,26 @@ def generate_particles(spark: SparkSession, grid: GridSpec, n: int = 1000, sampl
     if sample == "grid" and not equalarea:
         return geo_grid(spark, grid, n)
     if sample == "random":
-        u = F.rand(seed + 1)
+        u = uniform(seed, "y")
         s0, s1 = np.sin(np.radians([grid.ymin, grid.ymax]))
         y = F.degrees(F.asin(F.lit(float(s0)) + u * float(s1 - s0))) if equalarea else F.lit(grid.ymin) + u * (grid.ymax - grid.ymin)
-        return spark.range(n).select((F.col("id") + 1).alias("p"), (F.lit(grid.xmin) + F.rand(seed) * (grid.xmax - grid.xmin)).alias("x"), y.alias("y"))
+        return spark.range(n).select((F.col("id") + 1).alias("p"), (F.lit(grid.xmin) + uniform(seed, "x") * (grid.xmax - grid.xmin)).alias("x"), y.alias("y"))
     if epsg != 8857:
         raise ValueError("only the Equal Earth projection (8857) is supported")
-    nx, ny = grid_shape(grid, n)  # n points on the driver, as many as are asked for
-    lon, lat = np.meshgrid(grid.xmin + (np.arange(nx) + 0.5) * (grid.xmax - grid.xmin) / nx, grid.ymin + (np.arange(ny) + 0.5) * (grid.ymax - grid.ymin) / ny)
-    pts = np.stack(geo.np_equal_earth(lon.ravel(), lat.ravel()), 1)
+    # the hull is that of the outermost of n regular points; it has as many as their grid has around its edge
+    nx, ny = grid_shape(grid, n)
+    lon, lat = grid.xmin + (np.arange(nx) + 0.5) * (grid.xmax - grid.xmin) / nx, grid.ymin + (np.arange(ny) + 0.5) * (grid.ymax - grid.ymin) / ny
+    edge = [np.concatenate([lon, lon, np.full(ny, lon[0]), np.full(ny, lon[-1])]), np.concatenate([np.full(nx, lat[0]), np.full(nx, lat[-1]), lat, lat])]
+    pts = np.unique(np.stack(geo.np_equal_earth(*edge), 1), axis=0)
     hull, (lo, hi) = _hull(pts), (pts.min(0), pts.max(0))
     pad = (hi - lo) * expand / 2
     box = GridSpec(1, 1, float(lo[0] - pad[0]), float(hi[0] + pad[0]), float(lo[1] - pad[1]), float(hi[1] + pad[1]))
-    mx, my = grid_shape(box, n)
-    gx, gy = np.meshgrid(box.xmin + (np.arange(mx) + 0.5) * (box.xmax - box.xmin) / mx, box.ymin + (np.arange(my) + 0.5) * (box.ymax - box.ymin) / my)
-    g = np.stack([gx.ravel(), gy.ravel()], 1)
-    a, b = hull, np.roll(hull, -1, 0)
-    inside = np.all((b[None, :, 0] - a[None, :, 0]) * (g[:, None, 1] - a[None, :, 1]) >= (b[None, :, 1] - a[None, :, 1]) * (g[:, None, 0] - a[None, :, 0]), 1)
-    x, y = geo.np_equal_earth_inverse(g[inside, 0], g[inside, 1])
-    return spark.createDataFrame([(i + 1, float(u), float(v)) for i, (u, v) in enumerate(zip(x, y, strict=True))], "p long, x double, y double")
+    mx, _ = shape = grid_shape(box, n)
+    points = spark.range(shape[0] * shape[1]).select("id", (F.lit(box.xmin) + (F.col("id") % mx + 0.5) * ((box.xmax - box.xmin) / mx)).alias("u"), (F.lit(box.ymin) + (F.floor(F.col("id") / mx) + 0.5) * ((box.ymax - box.ymin) / shape[1])).alias("v"))
+    sides = F.array(*(F.array(*(F.lit(float(z)) for z in (*a, *b))) for a, b in zip(hull, np.roll(hull, -1, 0), strict=True)))
+    inside = F.forall(sides, lambda s: (s[2] - s[0]) * (F.col("v") - s[1]) >= (s[3] - s[1]) * (F.col("u") - s[0]))
+    x, y = geo.equal_earth_inverse(F.col("u"), F.col("v"))
+    return points.where(inside).select((F.col("id") + 1).alias("p"), x.alias("x"), y.alias("y"))
 
 
 def np_bilinear(u: np.ndarray, v: np.ndarray, grid: GridSpec, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,68 +11,85 @@ from pyspark.sql import functions as F
 
 from galeway.functions import geo
 from galeway.grid import DIRS, STEPS, GridSpec
-from galeway.operators.distance import cell_distance, point_distance
+from galeway.operators.distance import cell_distance, kilometres, point_distance
 from galeway.operators.graph import wind_graph
 from galeway.operators.rose import WindRose
-from galeway.plans.iterate import cut
-
-#: A kernel task holds the graph up to this number of edges; larger graphs are relaxed by joins.
-KERNEL_EDGES = 8_000_000
-#: Groups of sources that kernels work on side by side.
-GROUPS = 8
-
-
-def dijkstra(n: int, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, starts: list[int]) -> np.ndarray:
-    """Least costs from any of starts to nodes 0..n-1, infinite where there is no path."""
-    order = np.argsort(src, kind="stable")
-    first = np.searchsorted(src[order], np.arange(n + 1)).tolist()
-    to, c = dst[order].tolist(), cost[order].tolist()
-    best = [float("inf")] * n
-    heap = []
-    for s in starts:
-        best[s] = 0.0
-        heap.append((0.0, s))
-    while heap:
-        d, v = heapq.heappop(heap)
-        if d > best[v]:
-            continue
-        for e in range(first[v], first[v + 1]):
-            new = d + c[e]
-            if new < best[to[e]]:
-                best[to[e]] = new
-                heapq.heappush(heap, (new, to[e]))
-    return np.array(best)
+from galeway.plans.iterate import cut, discard
 
+#: Graphs up to this number of edges are broadcast to the kernels (20 bytes an edge); larger ones are relaxed by joins.
+KERNEL_EDGES = 4_000_000
 
-def _kernel(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, cell, d) by one search for each source; the edges, whose number is checked, go to each group of sources."""
-    sources = sources.withColumn("g", F.pmod(F.xxhash64("source"), F.lit(GROUPS)).cast("int"))
-    groups = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g")
-    copies = edges.select("src", "dst", "cost", groups)
 
-    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([e.src, e.dst, s.cell])).astype(np.int64)
-        src, dst = np.searchsorted(nodes, e.src), np.searchsorted(nodes, e.dst)
-        out = []
-        for source, part in s.groupby("source"):
-            d = dijkstra(len(nodes), src, dst, e.cost.to_numpy(), np.searchsorted(nodes, part.cell).tolist())
-            ok = np.isfinite(d)
-            out.append(pd.DataFrame({"source": source, "cell": nodes[ok], "d": d[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"source": [], "cell": [], "d": []})
+class Graph:
+    """Edges in rows of their origin: those of node v are to[first[v] : first[v + 1]], with their costs. Nodes are numbered from 0."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, cost: np.ndarray):
+        order = np.argsort(src, kind="stable")
+        self.first, self.to, self.cost = np.searchsorted(src[order], np.arange(n + 1)), dst[order].astype(np.int32), cost[order]
+        self.step = float(cost.mean()) if len(cost) else 1.0
+
+    def least(self, starts: list[int] | np.ndarray) -> np.ndarray:
+        """Least costs from any of starts to all nodes, infinite where there is no path.
+
+        Nodes that got nearer wait; those within a step of the nearest one are settled together, again if need be.
+        """
+        d = np.full(len(self.first) - 1, np.inf)
+        d[starts] = 0.0
+        waiting = np.unique(starts)
+        while len(waiting):
+            near = d[waiting] <= d[waiting].min() + self.step
+            now = waiting[near]
+            size = self.first[now + 1] - self.first[now]
+            e = np.repeat(self.first[now + 1] - np.cumsum(size), size) + np.arange(size.sum())
+            to, new = self.to[e], np.repeat(d[now], size) + self.cost[e]
+            better = new < d[to]
+            np.minimum.at(d, to[better], new[better])
+            waiting = np.unique(np.concatenate([waiting[~near], to[better]]))
+        return d
 
-    return copies.groupBy("g").cogroup(sources.groupBy("g")).applyInPandas(run, "source long, cell long, d double")
+
+def _kernel(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, cell, d) by one search for each source. The edges, whose number is checked, are broadcast; sources are dealt to as many tasks as there are cores."""
+    spark = edges.sparkSession
+    e = edges.select("src", "dst", "cost").toPandas()
+    nodes = np.unique(np.concatenate([e.src, e.dst])).astype(np.int64)
+    held = spark.sparkContext.broadcast((nodes, Graph(len(nodes), np.searchsorted(nodes, e.src), np.searchsorted(nodes, e.dst), e.cost.to_numpy(float))))
+    each = sources.groupBy("source").agg(F.collect_set("cell").alias("cells"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, graph = held.value
+        for pdf in batches:
+            for source, cells in zip(pdf.source, pdf.cells, strict=True):
+                cells = np.asarray(cells, np.int64)
+                at = np.minimum(np.searchsorted(nodes, cells), max(0, len(nodes) - 1))
+                known = nodes[at] == cells if len(nodes) else np.zeros(len(cells), bool)
+                d = graph.least(at[known])
+                ok = np.isfinite(d)
+                alone = cells[~known]  # starts without edges reach themselves
+                yield pd.DataFrame({"source": source, "cell": np.concatenate([nodes[ok], alone]), "d": np.concatenate([d[ok], np.zeros(len(alone))])})
+
+    return each.repartition(spark.sparkContext.defaultParallelism, "source").mapInPandas(run, "source long, cell long, d double")
 
 
 def _relational(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(source, cell, d) by rounds of joins in which only cells that got nearer are joined with the edges."""
+    """(source, cell, d) by rounds of joins in which only the nearest of the cells that got nearer are joined with the edges.
+
+    As in Graph.least(): those within a mean edge of the nearest one go first, so that few are settled twice. A round's table replaces the last one's.
+    """
     edges = cut(edges.select("src", "dst", "cost"))
+    step = edges.agg(F.avg("cost")).first()[0] or 1.0
     known = cut(sources.select("source", "cell", F.lit(0.0).alias("d"), F.lit(True).alias("new")))
     rounds = 0
-    while (max_rounds is None or rounds < max_rounds) and not known.where("new").isEmpty():
-        reached = known.where("new").join(edges, F.col("cell") == F.col("src")).groupBy("source", F.col("dst").alias("cell")).agg(F.min(F.col("d") + F.col("cost")).alias("r"))
-        both = known.select("source", "cell", "d").join(reached, ["source", "cell"], "full")
+    while max_rounds is None or rounds < max_rounds:
+        nearest = known.where("new").agg(F.min("d")).first()[0]
+        if nearest is None:
+            break
+        now = F.col("new") & (F.col("d") <= nearest + step)
+        reached = known.where(now).join(edges, F.col("cell") == F.col("src")).groupBy("source", F.col("dst").alias("cell")).agg(F.min(F.col("d") + F.col("cost")).alias("r"))
+        both = known.select("source", "cell", "d", (F.col("new") & ~now).alias("waits")).join(reached, ["source", "cell"], "full")
         near = F.col("r").isNotNull() & (F.col("d").isNull() | (F.col("r") < F.col("d")))
-        known = cut(both.select("source", "cell", F.when(near, F.col("r")).otherwise(F.col("d")).alias("d"), near.alias("new")))
+        old, known = known, cut(both.select("source", "cell", F.when(near, F.col("r")).otherwise(F.col("d")).alias("d"), (near | F.coalesce("waits", F.lit(False))).alias("new")))
+        discard(old)
         rounds += 1
     return known.select("source", "cell", "d")
 
@@ -101,16 +118,17 @@ def least_cost_surface(edges: DataFrame, grid: GridSpec, sites: DataFrame, rate:
 def least_cost_distance(edges: DataFrame, grid: GridSpec, sites: DataFrame, adjust: bool = True, rate: bool = False, strategy: str = "auto") -> DataFrame:
     """i, j, value: cost from site i to site j (site, x, y). adjust: times point by cell distance; null in the diagonal and within a cell."""
     cell, _, _ = grid.lookup(F.col("x"), F.col("y"))
-    at = sites.select("site", cell.alias("cell"))
+    _, row, col = grid.lookup(F.col("x"), F.col("y"))
+    at = sites.select("site", "x", "y", cell.alias("cell"), grid.x(col).alias("cx"), grid.y(row).alias("cy"))
     starts = at.where("cell is not null").select(F.col("cell").alias("source"), "cell").distinct()
     d = accumulate(edges, starts, strategy)
-    i, j = at.select(F.col("site").alias("i"), F.col("cell").alias("ci")), at.select(F.col("site").alias("j"), F.col("cell").alias("cj"))
-    pairs = i.crossJoin(j)  # the matrix of sites is the result
-    out = pairs.join(d, (F.col("ci") == F.col("source")) & (F.col("cj") == F.col("cell")), "left").select("i", "j", F.coalesce("d", F.lit(float("inf"))).alias("value"))
+    pairs = at.toDF("i", "x1", "y1", "ci", "cx1", "cy1").crossJoin(at.toDF("j", "x2", "y2", "cj", "cx2", "cy2"))  # the matrix of sites is the result
+    out = pairs.join(d, (F.col("ci") == F.col("source")) & (F.col("cj") == F.col("cell")), "left").withColumn("value", F.coalesce("d", F.lit(float("inf"))))
     if adjust:
-        p, c = point_distance(sites).withColumnRenamed("value", "p"), cell_distance(grid, sites).withColumnRenamed("value", "c")
-        out = out.join(p, ["i", "j"]).join(c, ["i", "j"])
-        out = out.select("i", "j", F.when(F.col("c") > 0, F.col("value") * F.col("p") / F.when(F.col("c") > 0, F.col("c"))).alias("value"))
+        p, c = kilometres("x1", "y1", "x2", "y2"), kilometres("cx1", "cy1", "cx2", "cy2")
+        out = out.select("i", "j", "value", p.alias("p"), c.alias("c"))
+        out = out.withColumn("value", F.when(F.col("c") > 0, F.col("value") * F.col("p") / F.when(F.col("c") > 0, F.col("c"))))
+    out = out.select("i", "j", "value")
     return out.withColumn("value", _rate(F.col("value"), rate))
 
 
@@ -179,11 +197,13 @@ def vrcd(rose: WindRose, sites: DataFrame, threshold_km: float = 30, pad: float
         r0, r1, c0, c1 = g.window(min(p.x1, p.x2) - m, max(p.x1, p.x2) + m, min(p.y1, p.y2) - m, max(p.y1, p.y2) + m)
         dense, g = dense[r0 - 1 : r1, c0 - 1 : c1], g.sub(r0, r1, c0, c1)
         at = []
+        if not all(g.xmin <= x <= g.xmax and g.ymin <= y <= g.ymax for x, y in ((p.x1, p.y1), (p.x2, p.y2))):
+            return pd.DataFrame({"i": [], "j": [], "w": [], "c": []})  # a site outside the grid keeps the coarse values
         for x, y in ((p.x1, p.y1), (p.x2, p.y2)):
             at.append((min(int((g.ymax - y) // g.yres), g.nrow - 1), min(int((x - g.xmin) // g.xres), g.ncol - 1)))
         ids = [r * g.ncol + c for r, c in at]
-        e = _edges_of(dense, upwind)
-        there, back = (dijkstra(g.ncell, *e, [ids[s]])[ids[1 - s]] for s in (0, 1))
+        fine = Graph(g.ncell, *_edges_of(dense, upwind))
+        there, back = (fine.least([ids[s]])[ids[1 - s]] for s in (0, 1))
         lon, lat = ([g.xmin + (c + 0.5) * g.xres for _, c in at], [g.ymax - (r + 0.5) * g.yres for r, _ in at])
         km = float(geo.np_inverse(lon[0], lat[0], lon[1], lat[1])[0]) / 1000
         return pd.DataFrame({"i": [p.i, p.j], "j": [p.j, p.i], "w": [there, back], "c": [km, km]})

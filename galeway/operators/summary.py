@@ -66,8 +66,3 @@ def ws_summarize(surface: DataFrame, grid: GridSpec, origin: tuple[float, float]
     )
     one = one.withColumn("c", geo.geodesic(F.lit(ox), F.lit(oy), F.col("centroid_x"), F.col("centroid_y")))
     return one.select("centroid_x", "centroid_y", F.col("c.km").alias("centroid_distance"), F.col("c.azimuth").alias("centroid_bearing"), "windshed_distance", "windshed_bearing", "windshed_isotropy", "windshed_size", "windshed_landarea")
-
-
-def np_circ_sd(b: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    x, y = (w * np.sin(np.radians(b))).sum() / w.sum(), (w * np.cos(np.radians(b))).sum() / w.sum()
-    return float(np.degrees(np.arctan2(x, y))), float(np.sqrt(1 - np.hypot(x, y)))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeway.functions import geo
-from galeway.grid import DIRS, STEPS, tesselate
+from galeway.grid import DIRS, STEPS, merge, tesselate
 from galeway.operators import distance, graph, pairwise, particles, paths, rose, summary, walk
 from galeway.sources import fixtures as fx
+from galeway.sources import series as src
 from galeway.streaming import rose as stream
 
 G = fx.GRID
@@ -190,12 +191,12 @@ def _flow(**options):
 
 
 def trails(s, d):
-    t = _flow(direction="downwind")(s, d).select("p", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "t")
+    t = _flow(direction="downwind")(s, d).select("p", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "t")
     return particles.trails_to_wkt(t)
 
 
 def _particles(**options):
-    return lambda s, d: particles.generate_particles(s, G, 200, **options)
+    return lambda s, d: rounded(particles.generate_particles(s, G, 200, **options))
 
 
 def vrcd(s, d):
@@ -211,6 +212,42 @@ def flow_pairs(s, d):
     return rounded(fx.flows(s, d))
 
 
+def iter_length(s, d):
+    w = walk.random_walk(_rose(s, d), _origin(s), 2, 2, "pulse", 0.5)
+    return rounded(s.createDataFrame([(walk.iter_length(w),)], "hours double"))
+
+
+def wind_graph_edge_fn(s, d):
+    return rounded(graph.wind_graph(_rose(s, d), edge_fn=lambda a, b, k: F.least(a, b)))
+
+
+def _layers(s, d, steps: int) -> DataFrame:
+    at = lambda c, k: F.max(F.when(F.col("step") == k, F.col(c))).alias(f"{c}{k}")
+    return fx.series(s, d).where(F.col("step") < steps).groupBy("cell").agg(*(at(c, k) for c in "uv" for k in range(steps)))
+
+
+def series_wide(s, d):
+    return rounded(src.WindSeries.from_wide(_layers(s, d, 3), G).df.select("cell", "row", "col", "x", "y", F.col("step").cast("long").alias("step"), "u", "v"))
+
+
+def series_stack(s, d):
+    df = fx.series(s, d).withColumn("step", F.col("step").cast("int"))
+    a, b = (src.WindSeries(df.where(F.col("step").isin(*k)).select(*src.SERIES), G) for k in ((0, 1), (3, 4)))
+    return rounded(a.stack(b).df.select("cell", "step", "u", "v"))
+
+
+def merge_grids(s, d):
+    field = fx.series(s, d, holes=True).where("step = 0").select("cell", "row", "col", "u", "v")
+    west, gw = G.crop(field, -106, -99, 35, 45)
+    east, ge = G.crop(fx.series(s, d).where("step = 1"), -101, -94, 37, 45)
+    return rounded(merge(west, gw, east, ge, ["u", "v"])[0].select("cell", "row", "col", "x", "y", "u", "v"))
+
+
+def grid_shift(s, d):
+    cell, row, col = G.shift(360).lookup(F.col("x") + 360, F.col("y"))
+    return fx.sites(s, d).select("site", cell.alias("cell"), row.alias("row"), col.alias("col"))
+
+
 QUERIES = {
     "wind_speed_direction": wind_speed_direction, "edge_loadings": edge_loadings,
     "wind_rose_trans1": _rose_query(1), "wind_rose_trans0": _rose_query(0, calm=True), "wind_rose_trans2": _rose_query(2), "wind_rose_trans3": _rose_query(3),
@@ -232,7 +269,8 @@ QUERIES = {
     "geo_grid": geo_grid, "particle_flow": _flow(), "particle_flow_wrap": _flow(wrap="both", direction="downwind"), "particle_flow_ignore_speed": _flow(ignore_speed=True, direction="upwind"),
     "particle_flow_true": _flow(metric="true", direction="downwind"), "trails": trails,
     "generate_particles_random": _particles(), "generate_particles_plain": _particles(equalarea=False), "generate_particles_grid": _particles(sample="grid"),
-    "vrcd": vrcd, "rose_by_day": rose_by_day,
+    "vrcd": vrcd, "rose_by_day": rose_by_day, "iter_length": iter_length, "wind_graph_edge_fn": wind_graph_edge_fn,
+    "series_wide": series_wide, "series_stack": series_stack, "merge_grids": merge_grids, "grid_shift": grid_shift,
 }
 
 
@@ -243,7 +281,27 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL -------------------------------------------------------------------
 
-_GEOMETRY = "geo(row, b_ne, b_se, d_n, d_ne, d_e, d_se, d_s) AS (VALUES " + ", ".join("(" + ", ".join(f"{x!r}::DOUBLE" if i else str(x) for i, x in enumerate(r)) + ")" for r in rose.neighbour_geometry(G)) + ")"
+def _vincenty(src: str, name: str = "vd") -> str:
+    """CTEs: i, j, km, azimuth of the rows i, j, x1, y1, x2, y2 of src."""
+    f = repr(geo.FLAT)
+    inner = f"""(SELECT *, {f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)) AS c FROM
+ (SELECT *, 1 - sa * sa AS ca2, CASE WHEN 1 - sa * sa = 0 THEN 0 ELSE cs - 2 * s1 * s2 / (1 - sa * sa) END AS c2m FROM
+ (SELECT *, atan2(ss, cs) AS sig, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa FROM
+ (SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM {name}_it WHERE {{0}}))))"""
+    return f"""{name}_0 AS (SELECT i, j, x1, y1, x2, y2, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, radians(x2 - x1) AS l FROM
+  (SELECT *, atan((1 - {f}) * tan(radians(y1))) AS u1, atan((1 - {f}) * tan(radians(y2))) AS u2 FROM {src})),
+{name}_it(i, j, same, s1, c1, s2, c2, l, lam, n) AS (SELECT i, j, x1 = x2 AND y1 = y2, s1, c1, s2, c2, l, l, 0 FROM {name}_0
+  UNION ALL SELECT i, j, same, s1, c1, s2, c2, l, l + (1 - c) * {f} * sa * (sig + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))), n + 1 FROM {inner.format("n < 12")}),
+{name}_k AS (SELECT *, ca2 * {(geo.A**2 - geo.B**2) / geo.B**2!r} AS q FROM {inner.format("n = 12")}),
+{name}_ab AS (SELECT *, 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768)) AS k1, q / 1024 * (256 + q * (q * (74 - 47 * q) - 128)) AS k2 FROM {name}_k),
+{name} AS (SELECT i, j, CASE WHEN same THEN 0 ELSE {geo.B!r} * k1 * (sig - k2 * ss * (c2m + k2 / 4 * (cs * (2 * c2m * c2m - 1) - k2 / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) / 1000 END AS km,
+  CASE WHEN NOT same THEN degrees(atan2(c2 * sin(lam), c1 * s2 - s1 * c2 * cos(lam))) END AS azimuth FROM {name}_ab)"""
+
+
+_GEOMETRY = f"""grows AS (SELECT r AS row, 45 - r + 0.5::DOUBLE AS lat FROM range(1, 11) t(r)),
+gsrc AS (SELECT row AS i, k AS j, 0.0::DOUBLE AS x1, lat AS y1, dx::DOUBLE AS x2, lat + dy AS y2 FROM grows, (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1)) n(k, dx, dy)),
+{_vincenty("gsrc", "gd")}, grhumb AS (SELECT i, j, (degrees(atan2(radians(x2 - x1), ln(tan(radians(y2) / 2 + pi() / 4)) - ln(tan(radians(y1) / 2 + pi() / 4)))) + 360) % 360 AS b FROM gsrc),
+geo AS (SELECT i::INT AS row, max(CASE WHEN j = 1 THEN b END) AS b_ne, max(CASE WHEN j = 3 THEN b END) AS b_se, {", ".join(f"max(CASE WHEN j = {k} THEN km * 1000 END) AS {d}" for k, d in enumerate(("d_n", "d_ne", "d_e", "d_se", "d_s")))} FROM gd JOIN grhumb USING (i, j) GROUP BY i)"""
 _METRES = dict(zip(DIRS, ("d_se", "d_e", "d_ne", "d_n", "d_ne", "d_e", "d_se", "d_s"), strict=True))
 _R = ", ".join(f'round("{k}", 6) AS "{k}"' for k in DIRS)
 
@@ -305,23 +363,6 @@ SELECT cell, ((cell - 1) // 12 + 1)::INT AS row, ((cell - 1) % 12 + 1)::INT AS c
 FROM (SELECT c.cell, coalesce(d, 'Infinity'::DOUBLE) AS d FROM (SELECT DISTINCT src AS cell FROM edges) c LEFT JOIN dist ON dist.cell = c.cell AND n = {ROUNDS})"""
 
 
-def _vincenty(src: str, name: str = "vd") -> str:
-    """CTEs: i, j, km, azimuth of the rows i, j, x1, y1, x2, y2 of src."""
-    f = repr(geo.FLAT)
-    inner = f"""(SELECT *, {f} / 16 * ca2 * (4 + {f} * (4 - 3 * ca2)) AS c FROM
- (SELECT *, 1 - sa * sa AS ca2, CASE WHEN 1 - sa * sa = 0 THEN 0 ELSE cs - 2 * s1 * s2 / (1 - sa * sa) END AS c2m FROM
- (SELECT *, atan2(ss, cs) AS sig, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa FROM
- (SELECT *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM {name}_it WHERE {{0}}))))"""
-    return f"""{name}_0 AS (SELECT i, j, x1, y1, x2, y2, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, radians(x2 - x1) AS l FROM
-  (SELECT *, atan((1 - {f}) * tan(radians(y1))) AS u1, atan((1 - {f}) * tan(radians(y2))) AS u2 FROM {src})),
-{name}_it(i, j, same, s1, c1, s2, c2, l, lam, n) AS (SELECT i, j, x1 = x2 AND y1 = y2, s1, c1, s2, c2, l, l, 0 FROM {name}_0
-  UNION ALL SELECT i, j, same, s1, c1, s2, c2, l, l + (1 - c) * {f} * sa * (sig + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))), n + 1 FROM {inner.format("n < 12")}),
-{name}_k AS (SELECT *, ca2 * {(geo.A**2 - geo.B**2) / geo.B**2!r} AS q FROM {inner.format("n = 12")}),
-{name}_ab AS (SELECT *, 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768)) AS k1, q / 1024 * (256 + q * (q * (74 - 47 * q) - 128)) AS k2 FROM {name}_k),
-{name} AS (SELECT i, j, CASE WHEN same THEN 0 ELSE {geo.B!r} * k1 * (sig - k2 * ss * (c2m + k2 / 4 * (cs * (2 * c2m * c2m - 1) - k2 / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))) / 1000 END AS km,
-  CASE WHEN NOT same THEN degrees(atan2(c2 * sin(lam), c1 * s2 - s1 * c2 * cos(lam))) END AS azimuth FROM {name}_ab)"""
-
-
 _PP = "pp AS (SELECT a.site AS i, b.site AS j, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM placed a, placed b)"
 _CC = "cc AS (SELECT a.site AS i, b.site AS j, -106 + a.col - 0.5::DOUBLE AS x1, 45 - a.row + 0.5::DOUBLE AS y1, -106 + b.col - 0.5::DOUBLE AS x2, 45 - b.row + 0.5::DOUBLE AS y2 FROM placed a, placed b)"
 _BOTH = f"{_SITES}, {_PP}, {_CC}, {_vincenty('pp', 'pd')}, {_vincenty('cc', 'cd')}"
@@ -381,12 +422,15 @@ def _pairs(name: str, a: int = 31, b: int = 17, m: int = 97) -> str:
 
 
 def _mantel_sql(kind: str = "pearson", alternative: str = "two.sided", perm: bool = False, nperm: int = 99) -> str:
-    base = f"{_pairs('x')}, {_pairs('y', 11, 23, 83)}, {_pairs('z', 13, 29, 89)}, b0 AS (SELECT i, j, x.value AS a, y.value AS b, z.value AS z FROM x JOIN y USING (i, j) JOIN z USING (i, j) WHERE i <> j)"
+    base = f"{_pairs('x')}, {_pairs('y', 11, 23, 83)}, {_pairs('z', 13, 29, 89)}, {_pairs('z2', 14, 29, 89)}, b0 AS (SELECT i, j, x.value AS a, y.value AS b, z.value AS z FROM x JOIN y USING (i, j) JOIN z USING (i, j) WHERE i <> j)"
     how = {
         "pearson": "b1 AS (SELECT i, j, a, b FROM b0)",
         "partial": "fit AS (SELECT regr_slope(a, z) AS sa, regr_intercept(a, z) AS ia, regr_slope(b, z) AS sb, regr_intercept(b, z) AS ib FROM b0), b1 AS (SELECT i, j, a - ia - sa * z AS a, b - ib - sb * z AS b FROM b0, fit)",
         "spearman": "b1 AS (SELECT i, j, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS b FROM b0)",
         "kendall": "b1 AS (SELECT i, j, a, b FROM b0)",
+        "partial2": f"""b2 AS (SELECT b0.i, b0.j, a, b, z, z2.value AS y2 FROM b0 JOIN z2 ON b0.i = z2.i AND b0.j = z2.j),
+cs AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(z) AS mz, avg(y2) AS mw, var_pop(z) AS zz, var_pop(y2) AS ww, covar_pop(z, y2) AS zw, covar_pop(a, z) AS az, covar_pop(a, y2) AS aw, covar_pop(b, z) AS bz, covar_pop(b, y2) AS bw FROM b2),
+b1 AS (SELECT i, j, {", ".join(f"{k} - m{k} - ({k}z * ww - {k}w * zw) / (zz * ww - zw * zw) * (z - mz) - ({k}w * zz - {k}z * zw) / (zz * ww - zw * zw) * (y2 - mw) AS {k}" for k in "ab")} FROM b2, cs)""",
     }[kind]
     perms = f"ps AS (SELECT p AS perm, i, row_number() OVER (PARTITION BY p ORDER BY md5(concat(p, ':', i))) - 1 AS pi FROM range(1, {nperm + 1}) t(p), range(25) s(i)), perms AS (SELECT perm, i, pi FROM ps)"
     moved = "moved AS (SELECT p.perm, b1.i, b1.j, r.a, b1.b FROM b1 JOIN perms p ON p.i = b1.i JOIN perms q ON q.perm = p.perm AND q.i = b1.j JOIN b1 r ON r.i = p.pi AND r.j = q.pi)"
@@ -417,6 +461,12 @@ SELECT round(cx, 5) AS centroid_x, round(cy, 5) AS centroid_y, round(km, 5) AS c
   round(degrees(atan2(sx, sy)), 5) AS windshed_bearing, round(sqrt(1 - sqrt(sx * sx + sy * sy)), 5) AS windshed_isotropy, round(size, 5) AS windshed_size, round(area, 5) AS windshed_landarea FROM one, h"""
 
 
+def _sampler_sql(equalarea: bool) -> str:
+    u = lambda k: f"('0x' || substr(md5('1:{k}:' || i), 1, 13))::BIGINT / pow(2, 52)"
+    y = f"degrees(asin(sin(radians(35)) + {u('y')} * (sin(radians(45)) - sin(radians(35)))))" if equalarea else f"35 + {u('y')} * 10"
+    return f"SELECT i + 1 AS p, round(-106 + {u('x')} * 12, 6) AS x, round({y}, 6) AS y FROM range(200) t(i)"
+
+
 _FINE = ", ".join(f'round(3 * ({{w}}), 6) AS "{d}"'.replace("{w}", " + ".join(f'{w} * f{n}."{d}"' for n, w in enumerate(("(1 - wy) * (1 - wx)", "(1 - wy) * wx", "wy * (1 - wx)", "wy * wx")))) for d in DIRS)
 _HAV = "2 * 6378.137 * asin(least(1, sqrt(pow(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2))))"
 _DISC = "SELECT i, j, CASE WHEN c.km = 0 THEN 'Infinity'::DOUBLE ELSE exp(abs(ln(c.km / p.km))) - 1 END AS d FROM pd p JOIN cd c USING (i, j) WHERE i < j"
@@ -424,7 +474,7 @@ _FLOWS = "flows AS (SELECT c_nationkey AS i, s_nationkey AS j, (sum(l_extendedpr
 
 ORACLE_SQL = {
     "wind_speed_direction": f"WITH {_series(calm=True)} SELECT cell, step, round({_SPEED}, 6) AS speed, round(degrees(atan2(u, v)), 6) AS direction, round(CASE WHEN degrees(atan2(u, v)) < -90 THEN degrees(atan2(u, v)) + 270 ELSE degrees(atan2(u, v)) - 90 END, 6) AS spun, round(CASE WHEN u = 0 AND v = 0 THEN 90 WHEN degrees(atan2(u, v)) <= 0 THEN degrees(atan2(u, v)) + 360 ELSE degrees(atan2(u, v)) END, 6) AS bearing FROM series",
-    "edge_loadings": f"WITH {_GEOMETRY}, {_series()}, {_loads(_SPEED)} SELECT cell, n_obs, " + ", ".join(f'round("{d}", 4) AS "{d}"' for d in DIRS) + " FROM loads",
+    "edge_loadings": f"WITH RECURSIVE {_GEOMETRY}, {_series()}, {_loads(_SPEED)} SELECT cell, n_obs, " + ", ".join(f'round("{d}", 4) AS "{d}"' for d in DIRS) + " FROM loads",
     "wind_rose_trans1": f"{_roses()} {_OUT_ROSE}", "wind_rose_trans0": f"{_roses('1.0', calm=True)} {_OUT_ROSE}", "wind_rose_trans2": f"{_roses('(u * u + v * v)')} {_OUT_ROSE}",
     "wind_rose_trans3": f"{_roses('pow(sqrt(u * u + v * v), 3)')} {_OUT_ROSE}", "wind_rose_threshold": f"{_roses(f'CASE WHEN {_SPEED} < 5 THEN 0 ELSE {_SPEED} END')} {_OUT_ROSE}",
     "wind_field": f"WITH {_series()} SELECT cell, round({_SPEED}, 6) AS speed FROM series WHERE step = 0",
@@ -453,11 +503,19 @@ ORACLE_SQL = {
     "pairwise_ratios": f"WITH {_pairs('x')} SELECT a.i, a.j, round(ln(a.value / b.value), 6) AS value FROM x a JOIN x b ON a.i = b.j AND a.j = b.i",
     "pairwise_ratios_flows": f"WITH {_FLOWS} SELECT a.i, a.j, round(a.value / b.value, 6) AS value FROM flows a JOIN flows b ON a.i = b.j AND a.j = b.i",
     "pairwise_ratios_vector": "WITH n AS (SELECT c_nationkey AS i, avg(c_acctbal::DOUBLE) AS value FROM customer GROUP BY 1) SELECT a.i, b.i AS j, round(ln(a.value / b.value), 6) AS value FROM n a, n b",
-    "mantel_simple": _mantel_sql(), "mantel_less": _mantel_sql(alternative="less"), "mantel_greater": _mantel_sql(alternative="greater"), "mantel_permutations": _mantel_sql(perm=True), "mantel_partial1": _mantel_sql("partial"), "mantel_spearman": _mantel_sql("spearman"), "mantel_kendall": _mantel_sql("kendall", nperm=9),
+    "mantel_simple": _mantel_sql(), "mantel_less": _mantel_sql(alternative="less"), "mantel_greater": _mantel_sql(alternative="greater"), "mantel_permutations": _mantel_sql(perm=True), "mantel_partial1": _mantel_sql("partial"), "mantel_partial2": _mantel_sql("partial2"), "mantel_spearman": _mantel_sql("spearman"), "mantel_kendall": _mantel_sql("kendall", nperm=9),
     "circ_sd": f"WITH {_series()}, o AS (SELECT cell, atan2(u, v) AS b, {_SPEED} AS w FROM series), m AS (SELECT cell, sum(w * sin(b)) / sum(w) AS x, sum(w * cos(b)) / sum(w) AS y FROM o GROUP BY cell) SELECT cell, round(degrees(atan2(x, y)), 6) AS bearing, round(sqrt(1 - sqrt(x * x + y * y)), 6) AS iso FROM m",
     "ws_summarize": _summary_sql(), "ws_summarize_radius": _summary_sql(400.0),
+    "iter_length": f"{_roses()} SELECT round(0.5 / max({_TOTAL}), 6) AS hours FROM rose",
+    "wind_graph_edge_fn": f"{_graph().replace('(a.c + b.c) / 2 AS', 'least(a.c, b.c) AS').replace('2 / (a.c + b.c) AS', '1 / least(a.c, b.c) AS').replace('WHERE a.c + b.c > 0', 'WHERE least(a.c, b.c) > 0')} {_OUT_EDGES}",
+    "series_wide": f"WITH {_series()} SELECT cell, row, col, x, y, step, round(u, 6) AS u, round(v, 6) AS v FROM series WHERE step < 3",
+    "series_stack": f"WITH {_series()} SELECT cell, (CASE WHEN step > 2 THEN step - 1 ELSE step END)::INT AS step, round(u, 6) AS u, round(v, 6) AS v FROM series WHERE step IN (0, 1, 3, 4)",
+    "merge_grids": f"WITH {_series()} SELECT cell, row, col, x, y, round(CASE WHEN a.u IS NOT NULL THEN a.u ELSE b.u END, 6) AS u, round(CASE WHEN a.v IS NOT NULL THEN a.v ELSE b.v END, 6) AS v FROM (SELECT * FROM series WHERE step = 0) s LEFT JOIN (SELECT cell, u, v FROM series WHERE step = 0 AND col <= 7 AND cell % 17 <> 0) a USING (cell) LEFT JOIN (SELECT cell, u, v FROM series WHERE step = 1 AND col >= 6 AND row <= 8) b USING (cell) WHERE a.cell IS NOT NULL OR b.cell IS NOT NULL",
+    "grid_shift": f"WITH {_SITES} SELECT site, cell, row, col FROM placed",
     "geo_grid": "SELECT i + 1 AS p, (-106 + (i % 6 + 0.5) * 2.0)::DOUBLE AS x, (35 + (i // 6 + 0.5) * 2.0)::DOUBLE AS y FROM range(30) t(i)",
+    "trails": f"{_flow_sql(1)} SELECT p, CASE WHEN count(*) > 1 THEN 'LINESTRING M (' ELSE 'POINT M (' END || string_agg(concat_ws(' ', x, y, t), ', ' ORDER BY t) || ')' AS wkt FROM flow GROUP BY p",
+    "generate_particles_random": _sampler_sql(True), "generate_particles_plain": _sampler_sql(False),
     "particle_flow_wrap": f"{_flow_sql(1, wrap=True)} SELECT * FROM flow", "particle_flow_ignore_speed": f"{_flow_sql(-1, ignore=True)} SELECT * FROM flow", "particle_flow_true": f"{_flow_sql(1, true=True)} SELECT * FROM flow",
     "particle_flow": f"SELECT * FROM ({_flow_sql(1)} SELECT * FROM flow) UNION ALL SELECT * FROM ({_flow_sql(-1)} SELECT * FROM flow) WHERE t <> 0",
 }
-ORACLE_SQL["rose_by_day"] = f"WITH {_GEOMETRY}, s0 AS (SELECT 1), {_series().replace('series AS', 'base AS')}, series AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM base), {_loads(_SPEED, 'day, cell, row')}, {_ROSE} SELECT day, cell, {_R} FROM rose"
+ORACLE_SQL["rose_by_day"] = f"WITH RECURSIVE {_GEOMETRY}, s0 AS (SELECT 1), {_series().replace('series AS', 'base AS')}, series AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM base), {_loads(_SPEED, 'day, cell, row')}, {_ROSE} SELECT day, cell, {_R} FROM rose"

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from galeway.grid import GridSpec
 from galeway.operators.rose import Trans, WindRose, wind_rose
+from galeway.sources.netcdf import NetCdf
 
 SERIES = ("cell", "row", "col", "x", "y", "step", "u", "v")
 
@@ -48,6 +50,16 @@ class WindSeries:
     def rose(self, trans: Trans = 1, **options) -> WindRose:
         return wind_rose(self.df, self.grid, trans, n_steps=self.n_steps, **options)
 
+    def stack(self, other: WindSeries) -> WindSeries:
+        """The steps of both, those of `other` after those of this one, by their order."""
+        if self.grid != other.grid:
+            raise ValueError("the grids differ")
+        after = self.df.agg((F.coalesce(F.max("step"), F.lit(-1)) + 1).alias("_after"))
+        low = other.df.agg(F.min("step").alias("_low"))
+        moved = other.df.crossJoin(F.broadcast(after)).crossJoin(F.broadcast(low)).withColumn("step", F.col("step") - F.col("_low") + F.col("_after"))  # one row each
+        both = None if None in (self.n_steps, other.n_steps) else self.n_steps + other.n_steps
+        return WindSeries(self.df.select(*SERIES).unionByName(moved.select(*SERIES)), self.grid, both)
+
     def field(self, step: int) -> WindField:
         return WindField(self.df.where(F.col("step") == step), self.grid)
 
@@ -93,10 +105,10 @@ def _days(years: Iterable[int], months: Iterable[int], days: Iterable[int]) -> l
 
 
 class ReanalysisSource(DataSource):
-    """format("reanalysis"): hourly winds from local archives <path>/<variable>/<yyyymmdd>.npz (lon, lat, hour, u, v).
+    """format("reanalysis"): hourly winds from archives <path>/<variable>/<yyyymmdd>.nc or .npz (lon, lat, hour, u, v) that all executors reach.
 
-    One partition for each day; the options lon, lat and hour (low:high, inclusive) select the part
-    of the arrays that is read. Rows: ts, hour, lon, lat, u, v; layer=land: lon, lat, w.
+    One partition for each day, handed over as one Arrow batch; the options lon, lat and hour (low:high, inclusive) select the part
+    of the arrays that is read. Filters are left to Spark: a reader that takes them keeps them for every later use of the same DataFrame. Rows: ts, hour, lon, lat, u, v; layer=land (land.nc or land.npz with soil): lon, lat, w.
     """
 
     @classmethod
@@ -125,29 +137,43 @@ class _Reader(DataSourceReader):
         nums = lambda k, d: [int(x) for x in self.o.get(k, d).split(",")]
         return [_Day(*d) for d in _days(nums("years", "1979"), nums("months", "1"), nums("days", "1"))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import datetime
+    def _array(self, partition: InputPartition) -> dict:
+        """Coordinates and values inside the box; a .nc file is read by the rows of its slab alone, an .npz file whole."""
+        import os
 
         import numpy as np
 
-        def within(z, k):
-            return np.flatnonzero((z >= self.box[k][0]) & (z <= self.box[k][1]))
+        o, land = self.o, self.o.get("layer") == "land"
+        y, m, d = (0, 0, 0) if land else partition.value
+        base = f"{o['path']}/land" if land else f"{o['path']}/{o.get('variable', 'wnd10m')}/{y:04d}{m:02d}{d:02d}"
+        names, values = (["lat", "lon"], ["soil"]) if land else (["hour", "lat", "lon"], ["u", "v"])
+        if os.path.exists(f"{base}.nc"):
+            held = NetCdf(f"{base}.nc")
+            axes = {k: held.read(k) for k in names}
+        else:
+            with np.load(f"{base}.npz") as f:
+                held = {k: f[k] for k in names + values}
+            axes = {k: held[k] for k in names}
+        at = [np.flatnonzero((axes[k] >= self.box[k][0]) & (axes[k] <= self.box[k][1])) for k in names]
+        out = {k: axes[k][i] for k, i in zip(names, at, strict=True)}
+        return out | {k: held.read(k, at) if isinstance(held, NetCdf) else held[k][np.ix_(*at)] for k in values}
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        a = self._array(partition)
+        names = [k for k in ("hour", "lat", "lon") if k in a]
+        z = {k: g.ravel() for k, g in zip(names, np.meshgrid(*(a[k] for k in names), indexing="ij"), strict=True)}
+        lon, lat = (pa.array(z[k].astype(float)) for k in ("lon", "lat"))
         if self.o.get("layer") == "land":
-            with np.load(f"{self.o['path']}/land.npz") as f:
-                lon, lat, soil = f["lon"], f["lat"], f["soil"]
-            for j in within(lat, "lat"):
-                for i in within(lon, "lon"):
-                    yield float(lon[i]), float(lat[j]), float(np.isfinite(soil[j, i]))
+            yield pa.RecordBatch.from_arrays([lon, lat, pa.array(np.isfinite(a["soil"]).ravel().astype(float))], ["lon", "lat", "w"])
             return
         y, m, d = partition.value
-        with np.load(f"{self.o['path']}/{self.o.get('variable', 'wnd10m')}/{y:04d}{m:02d}{d:02d}.npz") as f:
-            lon, lat, hour, u, v = (f[k] for k in ("lon", "lat", "hour", "u", "v"))
-        for t in within(hour, "hour"):
-            ts = datetime.datetime(y, m, d) + datetime.timedelta(hours=int(hour[t]))
-            for j in within(lat, "lat"):
-                for i in within(lon, "lon"):
-                    yield ts, int(hour[t]), float(lon[i]), float(lat[j]), float(u[t, j, i]), float(v[t, j, i])
+        ts = np.datetime64(f"{y:04d}-{m:02d}-{d:02d}T00", "us") + z["hour"].astype("timedelta64[h]")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ts, pa.timestamp("us", "UTC")), pa.array(z["hour"].astype(np.int32)), lon, lat, *(pa.array(a[k].ravel().astype(float)) for k in ("u", "v"))],
+            ["ts", "hour", "lon", "lat", "u", "v"],
+        )
 
 
 def read_reanalysis(spark: SparkSession, path: str, variable: str = "wnd10m", years: Iterable[int] = (1979,), months: Iterable[int] = (1,), days: Iterable[int] = (1,),
@@ -174,5 +200,5 @@ def gridded(df: DataFrame, order: str = "ts") -> WindSeries:
     xres, yres = ((e[i + 1] - e[i]) / max(1, e[i + 2] - 1) or 1.0 for i in (0, 3))
     grid = GridSpec(e[5], e[2], e[0] - xres / 2, e[1] + xres / 2, e[3] - yres / 2, e[4] + yres / 2)
     cell, _, _ = grid.lookup(F.col("lon"), F.col("lat"))
-    steps = df.select(order).distinct().withColumn("step", F.row_number().over(Window.orderBy(order)) - 1)  # a row for each hour
-    return WindSeries.from_long(df.join(F.broadcast(steps), order).select(cell.alias("cell"), "step", order, "u", "v"), grid)
+    steps = df.select(order).distinct().withColumn("step", F.row_number().over(Window.orderBy(order)) - 1)  # a row for each hour: some 280,000 in 32 years
+    return WindSeries.from_long(df.join(steps, order).select(cell.alias("cell"), "step", order, "u", "v"), grid)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galeway.grid import DIRS, GridSpec, tesselate
-from galeway.operators import graph, pairwise, particles, paths, rose, walk
+from galeway.operators import distance, graph, pairwise, particles, paths, rose, walk
 from galeway.sources import fixtures as fx
 from galeway.sources import series as src
 from galeway.streaming import rose as stream
@@ -150,6 +150,82 @@ def test_vrcd_replaces_close_pairs_only(spark, sf):
     assert close.any() and (v[~close].wind_dist == v[~close].wind_dist_coarse).all() and (v[close].wind_dist != v[close].wind_dist_coarse).any()
 
 
+def test_vrcd_is_the_join_form_on_each_window(spark, sf):
+    r = rose.wind_rose(fx.series(spark, sf), fx.GRID)
+    v = {(x.i, x.j): x for x in paths.vrcd(r, fx.sites(spark, sf), threshold_km=100, max_nodes=900).collect()}
+    at = {x.site: (x.x, x.y) for x in fx.sites(spark, sf).collect()}
+    close = sorted(k for k, x in v.items() if k[0] > k[1] and x.point_dist <= 100)
+    for i, j in close[:2]:
+        (x1, y1), (x2, y2) = at[i], at[j]
+        span = max(abs(x1 - x2), abs(y1 - y2))
+        box = lambda m: (min(x1, x2) - m, max(x1, x2) + m, min(y1, y2) - m, max(y1, y2) + m)
+        part = r.crop(*box(max(span, 2 * fx.GRID.yres)))
+        fine = part.downscale(max(1, int((900 / part.grid.ncell) ** 0.5)))
+        fine = fine.crop(*box(max(span, 2 * fine.grid.yres)))
+        pts = spark.createDataFrame([(i, x1, y1), (j, x2, y2)], "site int, x double, y double")
+        d = {(x.i, x.j): x.value for x in paths.least_cost_distance(graph.wind_graph(fine), fine.grid, pts, adjust=False, strategy="relational").collect()}
+        c = {(x.i, x.j): x.value for x in distance.cell_distance(fine.grid, pts).collect()}
+        for k in ((i, j), (j, i)):
+            assert v[k].wind_dist == pytest.approx(d[k]) and v[k].cell_dist == pytest.approx(c[k])
+
+
+def test_close_sites_outside_the_grid_keep_coarse_values(spark, sf):
+    r = rose.wind_rose(fx.series(spark, sf), fx.GRID)
+    pts = spark.createDataFrame([(1, -105.9, 40.2), (2, -106.2, 40.2)], "site int, x double, y double")
+    rows = {(x.i, x.j): x for x in paths.vrcd(r, pts, threshold_km=100, max_nodes=900).collect()}
+    assert rows[1, 2].wind_dist == rows[1, 2].wind_dist_coarse and rows[1, 2].cell_dist == rows[1, 2].cell_dist_coarse
+
+
+def test_least_costs_are_those_of_a_plain_search():
+    import heapq
+
+    rng = np.random.default_rng(4)
+    n, m = 60, 240
+    src_, dst, cost = rng.integers(0, n, m), rng.integers(0, n, m), rng.exponential(1.0, m) ** 3
+    for start in range(0, n, 7):
+        best, heap = {}, [(0.0, start)]
+        while heap:
+            d, v = heapq.heappop(heap)
+            if v not in best:
+                best[v] = d
+                heap += [(d + c, w) for a, w, c in zip(src_, dst, cost, strict=True) if a == v]
+                heapq.heapify(heap)
+        got = paths.Graph(n, src_, dst, cost).least([start])
+        assert np.allclose(got, [best.get(v, np.inf) for v in range(n)])
+
+
+def test_equal_area_grid_is_brute_force(spark):
+    from galeway.functions import geo
+
+    g, n = fx.GRID, 300
+    nx, ny = particles.grid_shape(g, n)
+    lon, lat = np.meshgrid(g.xmin + (np.arange(nx) + 0.5) * (g.xmax - g.xmin) / nx, g.ymin + (np.arange(ny) + 0.5) * (g.ymax - g.ymin) / ny)
+    pts = np.stack(geo.np_equal_earth(lon.ravel(), lat.ravel()), 1)
+    lo, hi = pts.min(0), pts.max(0)
+    pad = (hi - lo) / 8
+    mx, my = particles.grid_shape(GridSpec(1, 1, lo[0] - pad[0], hi[0] + pad[0], lo[1] - pad[1], hi[1] + pad[1]), n)
+    u, v = np.meshgrid(lo[0] - pad[0] + (np.arange(mx) + 0.5) * (hi[0] - lo[0] + 2 * pad[0]) / mx, lo[1] - pad[1] + (np.arange(my) + 0.5) * (hi[1] - lo[1] + 2 * pad[1]) / my)
+    turn = np.radians(np.arange(0, 360, 0.05))
+    way = np.stack([np.cos(turn), np.sin(turn)])
+    reach = (pts @ way).max(0)  # a point is in the hull if it is beyond all points in no direction
+    inside = ((np.stack([u.ravel(), v.ravel()], 1) @ way) <= reach + 1.0).all(1)
+    x, y = geo.np_equal_earth_inverse(u.ravel()[inside], v.ravel()[inside])
+    got = particles.generate_particles(spark, g, n, sample="grid").orderBy("p").toPandas()
+    assert np.allclose(got.x, x) and np.allclose(got.y, y) and 100 < len(got) < mx * my
+
+
+def test_ranks_are_means_of_ties(spark):
+    v = [3.0, 1.0, 3.0, -2.0, 8.0, 3.0, 1.0]
+    got = pairwise.average_rank(spark.createDataFrame(list(enumerate(v)), "i int, a double").repartition(3), "a").toPandas().sort_values("i").a
+    assert list(got) == list(pd.Series(v).rank())
+
+
+def test_running_loads_add_up(small):
+    parts = [rose.loadings(small.df.where(w), G) for w in ("step < 2", "step >= 2")]
+    a, b = (x.toPandas().set_index("cell").sort_index()[["n_obs", *DIRS]] for x in (stream.running(*parts), rose.loadings(small.df, G)))
+    assert np.allclose(a, b)
+
+
 def test_tesselate_needs_a_globe(spark):
     with pytest.raises(ValueError):
         tesselate(G.cells(spark), G)
