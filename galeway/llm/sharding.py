@@ -41,12 +41,13 @@ def incidences(base: DataFrame, units: DataFrame, links: DataFrame | None = None
     return materialize(each.join(lines, ["g1", "g2"]).select("u", "key").unionByName(own))
 
 
-def votes(at: DataFrame, n_shards: int) -> DataFrame:
-    """u, v0, v1, ...: for each label, the mean share of members that the other holders of what a unit shares have there, summed.
+def holders(at: DataFrame, n_shards: int) -> DataFrame:
+    """key, all, c0, c1, ...: members of the units that share something, by label. at: u, key, label, n."""
+    return at.groupBy("key").agg(F.sum("n").alias("all"), *(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(n_shards)))
 
-    at: u, key, label, n.
-    """
-    held = at.groupBy("key").agg(F.sum("n").alias("all"), *(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(n_shards)))
+
+def votes(at: DataFrame, held: DataFrame, n_shards: int) -> DataFrame:
+    """u, v0, v1, ...: for each label, the mean share of members that the other holders of what a unit shares have there, summed."""
     rest = F.greatest(F.lit(1), F.col("all") - F.col("n"))
     mine = lambda k: F.when(F.col("label") == k, F.col("n")).otherwise(0)
     return at.join(held, "key").groupBy("u").agg(*(F.sum((F.col(f"c{k}") - mine(k)) / rest).alias(f"v{k}") for k in range(n_shards)))
@@ -79,7 +80,8 @@ def propagate(state: DataFrame, shared: DataFrame, total: int, n_shards: int, ro
     cap, idle = math.ceil(total / n_shards * (1 + slack)), 0
     for r in range(rounds):
         at = materialize(shared.join(state, "u"))
-        v = state.join(votes(at, n_shards), "u")
+        held = materialize(holders(at, n_shards))  # plain scans under the join, which a hot key can then be split in
+        v = state.join(votes(at, held, n_shards), "u")
         every = F.array(*(F.struct(F.col(f"v{k}").alias("v"), F.lit(-k).alias("l")) for k in range(n_shards)))
         turn = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0
         v = v.select("u", "label", "n", F.element_at(every, F.col("label") + 1)["v"].alias("here"), F.array_max(every).alias("best")).where(turn & (F.col("best.v") > F.col("here") + 1e-9))
@@ -94,8 +96,8 @@ def propagate(state: DataFrame, shared: DataFrame, total: int, n_shards: int, ro
             new = materialize(state.join(moves, "u", "left").select("u", F.coalesce("to", "label").alias("label"), "n"))
             discard(state)
             state = new
-        discard(at)
-        discard(asked)
+        for used in (at, held, asked):
+            discard(used)
         if idle == 2:
             break
     return state
