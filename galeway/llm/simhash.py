@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,15 @@ SEED = 42
 #: Leaves of the index, and children of an upper node.
 FAN = 16
 #: Buckets above this size are divided anew, so many times at most.
-BUCKET, LEVELS = 20_000, 2
+BUCKET, LEVELS = 20_000, 4
 #: Pairs that are compared at once.
 PAIRS = 1 << 21
 #: Shingles of the texts that one task compares: larger families are compared block by block.
 FAMILY = 2_000_000
-#: near_duplicates(): words of sketch, tables, bits of a table, and bits of the first word in which candidates may differ.
-SKETCH, TABLES, BITS, RADIUS = 4, 64, 16, 18
+#: near_duplicates(): words of sketch, least bits of a table, and bits of the first word in which candidates may differ.
+SKETCH, BITS, RADIUS = 4, 16, 18
+#: Texts to a value of a table's bits, and the chance that two texts at the least similarity are candidates.
+CROWD, CHANCE = 16, 0.992
 
 
 def shingle_hashes(body: bytes, n: int) -> np.ndarray:
@@ -306,12 +309,22 @@ def simhash_components(docs: DataFrame, shingle: int = 3, k: int = 3, doc: str =
     return out.select(F.col("doc").alias(doc), F.lower(F.lpad(F.hex("x"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sketcher(shingle: int):
+def table_shape(n: int, similarity: float) -> tuple[int, int]:
+    """(bits, tables) for n texts. Bits grow with the logarithm of n, so that buckets of unlike texts don't; tables keep the chance.
+
+    Texts of this Jaccard similarity have an angle whose cosine is 2 s / (1 + s), and a bit of theirs is equal with 1 - angle / pi.
+    """
+    bits = max(BITS, math.ceil(math.log2(max(1, n) / CROWD)))
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits, max(1, math.ceil(math.log(1 - CHANCE) / math.log1p(-(same**bits)))) if same < 1 else 1
+
+
+def _sketcher(shingle: int, n_bits: int, tables: int):
     rng = np.random.default_rng(20)
-    subsets = np.array([rng.permutation(64 * SKETCH)[:BITS] for _ in range(TABLES)])
-    powers = (1 << np.arange(BITS)).astype(np.int64)
+    subsets = np.array([rng.permutation(64 * SKETCH)[:n_bits] for _ in range(tables)])
+    powers = (1 << np.arange(n_bits)).astype(np.int64)
 
-    @F.pandas_udf("x long, tables array<int>, n long")
+    @F.pandas_udf("x long, tables array<long>, n long")
     def kernel(t: pd.Series) -> pd.DataFrame:
         out = []
         for part in steps(t):
@@ -319,7 +332,7 @@ def _sketcher(shingle: int):
             words = np.stack([majority([remix(h, w) for h in hs]) for w in range(SKETCH)], 1)
             bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1)
             keys = bits[:, subsets].astype(np.int64) @ powers
-            out.append(pd.DataFrame({"x": words[:, 0].view(np.int64), "tables": list(keys.astype(np.int32)), "n": [len(h) for h in hs]}))
+            out.append(pd.DataFrame({"x": words[:, 0].view(np.int64), "tables": list(keys), "n": [len(h) for h in hs]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"x": [], "tables": [], "n": []})
 
     return kernel
@@ -411,15 +424,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """(node, root, least): every distinct text by its MD5, the group it belongs to, the smallest id of its rows.
 
     Texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked; groups are
-    the components. Candidates share one of TABLES samples of BITS sketch bits and differ in
-    RADIUS bits at most of one word: two texts at 0.8 meet with a probability of about 0.98. Each bucket gives
+    the components. Candidates share one of the samples of sketch bits that table_shape() asks for and differ in
+    RADIUS bits at most of one word: two texts at 0.8 meet with a probability of about 0.98, at any size. Each bucket gives
     all its pairs, or if it is large a spanning forest of its nearest ones, and every one of these is then settled
     on the whole sets. Pairs that a forest leaves out and that no verified pairs join are settled by _left_out().
     """
     small_batches(docs.sparkSession)
-    sketched = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), _sketcher(shingle)(F.col(text)).alias("s"))
+    bits, tables = table_shape(docs.count(), similarity)
+    sketched = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), _sketcher(shingle, bits, tables)(F.col(text)).alias("s"))
     texts = materialize(sketched.groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("s.n", "s.x", "s.tables")).alias("s")))
-    rows = texts.select("node", F.col("s.x").alias("x"), F.posexplode("s.tables").alias("t", "v")).select(((F.col("t") * F.lit(1 << BITS)) + F.col("v")).cast("long").alias("key"), "x", "node")
+    rows = texts.select("node", F.col("s.x").alias("x"), F.posexplode("s.tables").alias("t", "v")).select((F.col("t").cast("long") * F.lit(1 << bits) + F.col("v")).alias("key"), "x", "node")
     pairs = rows.repartition("key").sortWithinPartitions("key", "x").mapInPandas(_edges(RADIUS, True), "a string, b string, key long")
     found = materialize(pairs.distinct())
     marks = found.where("b is null").select(F.col("a").alias("node"), "key")
