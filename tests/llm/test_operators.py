@@ -240,6 +240,16 @@ def test_near_duplicates_keep_one(docs):
     assert want <= got and len(got - want) <= 0.02 * len(rows) + 1
 
 
+def test_tables_grow_with_the_texts(docs, monkeypatch):
+    assert simhash.table_shape(0, 0.8) == simhash.table_shape(1 << 20, 0.8) == (16, 65)
+    bits, tables = simhash.table_shape(1 << 30, 0.8)
+    assert bits == 26 and 250 < tables < 400 and simhash.table_shape(5, 1.0) == (16, 1)
+    few = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    monkeypatch.setattr(simhash, "BITS", 22)
+    many = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert len(few ^ many) <= 2
+
+
 def test_keep_one_odd_rows(odd):
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(odd).collect()]
     assert kept.count((4, WORDS)) == 1 and (5, WORDS) not in kept and (7, LONG) in kept
