@@ -25,6 +25,11 @@ STEP = 12_000_000
 ODD = -1
 
 
+def release() -> None:
+    """Give back the memory that Arrow keeps for later: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+
+
 class Store:
     """Rows of ids of any length, one after another in one array; row 0 is empty."""
 
@@ -141,6 +146,7 @@ class ChunkCoder:
         ids, ends = self.store.gather(chunk_rows)
         if self.store.rows > self.cap:
             self.clear()
+        release()
         return ids, ends[np.append(of[1:], len(first)) - 1]
 
 

@@ -97,7 +97,7 @@ class PieceCoder(ChunkCoder):
             ids |= {c: len(rows) + i for i, c in enumerate(sorted(self.known.difference(ids)))}  # may merge, but stand for bytes alone
             self.rank, self.split = _merges(score, ids)
             self.concat = {(a, b): self.rank[i] for p, i in ids.items() for a, b in ((ids.get(p[:n]), ids.get(p[n:])) for n in range(1, len(p))) if a is not None and b is not None}
-            self.free: dict[tuple[int, int], bool] = {}
+            self.free: dict[int, bool] = {}  # by both pieces in one number
         for p, i in ids.items():
             if not self.bpe or len(p) == 1 or i in self.split:
                 self.automaton.add_word(p, (i, len(p), score.get(p, 0.0)))
@@ -142,9 +142,9 @@ class PieceCoder(ChunkCoder):
             if last[end + 1] is None:
                 before = last[end + 1 - size]
                 if before is not None:
-                    ok = free.get((before, i))
+                    ok = free.get(before << 24 | i)
                     if ok is None:
-                        ok = free[before, i] = self._free(before, i)
+                        ok = free[before << 24 | i] = self._free(before, i)
                     if not ok:
                         continue
                 last[end + 1] = i

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeway.llm.chunks import release
 from galeway.llm.common import pack, small_batches, unpack
 
 #: Compressor level, and bytes of the fixed chunks.
@@ -101,6 +102,7 @@ def steps(texts: pd.Series) -> Iterator[list[bytes]]:
             held, size = [], 0
     if held:
         yield held
+    release()
 
 
 def judge(text: Column) -> Column:

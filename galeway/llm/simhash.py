@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeway.llm.chunks import release
 from galeway.llm.common import materialize, pack, small_batches, unpack
 from galeway.llm.graph import components
 from galeway.llm.quality import steps
@@ -22,7 +23,7 @@ BUCKET, LEVELS = 20_000, 4
 #: Pairs that are compared at once.
 PAIRS = 1 << 21
 #: Shingles of the texts that one task compares: larger families are compared block by block.
-FAMILY = 2_000_000
+FAMILY = 1_000_000
 #: near_duplicates(): words of sketch, least bits of a table, and bits of the first word in which candidates may differ.
 SKETCH, BITS, RADIUS = 4, 16, 18
 #: Texts to a value of a table's bits, and the chance that two texts at the least similarity are candidates.
@@ -238,6 +239,7 @@ def _by_key(emit):
             if held or cut:
                 yield emit(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
             held, last = [pdf.iloc[cut:]], end
+            release()
         if held:
             yield emit(pd.concat(held, ignore_index=True))
 
