@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # written first: plain scans under the join, so that a hub's edges are split
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         hung = both.join(least, "a")
         hung = hung.where("b > a") if large else hung.where("b != m")
         new = hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
