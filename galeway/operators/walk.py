@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from galeway.grid import DIRS, STEPS, GridSpec
 from galeway.operators.graph import adjacency
 from galeway.operators.rose import WindRose
-from galeway.plans.iterate import cut
+from galeway.plans.iterate import cut, discard
 
 #: Dense arrays in one task up to this number of cells; joins beyond it.
 KERNEL_CELLS = 1_000_000
@@ -82,7 +82,9 @@ def _relational(start: DataFrame, prob: DataFrame, grid: GridSpec, record: list[
             new = mass.join(moves, F.col("cell") == F.col("src")).groupBy(F.col("dst").alias("cell")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
             if ratchet:
                 new = new.unionByName(mass).groupBy("cell").agg(F.max("mass").alias("mass"))
-            mass = cut(new)
+            old, mass = mass, cut(new)
+            if i - 1 not in record:  # else it is read later
+                discard(old)
         if i in record:
             out.append(cells.join(mass, "cell", "left").select(F.lit(i).alias("iter"), "cell", F.coalesce("mass", F.lit(0.0)).alias("mass")))
     df = out[0]
