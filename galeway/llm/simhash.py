@@ -24,6 +24,8 @@ BUCKET, LEVELS = 20_000, 4
 PAIRS = 1 << 21
 #: Shingles of the texts that one task compares: larger families are compared block by block.
 FAMILY = 1_000_000
+#: Families of short texts are spread as well: a block for so many texts, so many blocks at most.
+SPREAD, SPREAD_BLOCKS = 500, 8
 #: near_duplicates(): words of sketch, least bits of a table, and bits of the first word in which candidates may differ.
 SKETCH, BITS, RADIUS = 4, 16, 18
 #: Texts to a value of a table's bits, and the chance that two texts at the least similarity are candidates.
@@ -398,7 +400,7 @@ def alike(sets: list[np.ndarray], similarity: float, root: np.ndarray) -> tuple[
 def _left_out(marks: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """(a, b): verified pairs across the groups `roots` in the families of texts that share buckets in `marks` (node, key).
 
-    A family's texts are compared whole against whole in blocks of FAMILY shingles.
+    A family's texts are compared whole against whole in blocks of FAMILY shingles, and of SPREAD texts while that gives no more than SPREAD_BLOCKS.
     """
     named = marks.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
@@ -408,7 +410,8 @@ def _left_out(marks: DataFrame, roots: DataFrame, sets: DataFrame, similarity: f
     families = components(crossing.select(F.col("node").alias("a"), F.concat(F.lit("k"), F.col("key").cast("string")).alias("b")))
     members = crossing.select("node", "root").distinct().join(families.select("node", F.col("root").alias("family")), "node")
     members = materialize(members.join(sets.select("node", F.size("h").alias("n")), "node"))
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(FAMILY)).cast("int").alias("nb")).withColumn("nb", F.greatest("nb", F.lit(1)))
+    spread = F.least(F.ceil(F.count("*") / F.lit(SPREAD)), F.lit(SPREAD_BLOCKS))
+    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(FAMILY)), spread).cast("int").alias("nb"))
     rows = members.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     key = F.concat_ws(" ", "family", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
