@@ -20,6 +20,8 @@ SEED = 42
 FAN = 16
 #: Buckets above this size are divided anew, so many times at most.
 BUCKET, LEVELS = 20_000, 4
+#: near_duplicates(): texts of a bucket that one task compares at most; larger buckets are compared block by block.
+MEMBERS = 100_000
 #: Pairs that are compared at once.
 PAIRS = 1 << 21
 #: Shingles of the texts that one task compares: larger families are compared block by block.
@@ -262,8 +264,8 @@ def links(prints: DataFrame, k: int = 3) -> DataFrame:
     """(a, b): pairs that connect all of `prints` (x: distinct longs) that differ in k bits or fewer.
 
     Of k + 1 parts of the bits, two such words share one, so they meet in its bucket; buckets of over BUCKET words
-    are divided by parts of their other bits in the same, exact way. In a bucket the Gray-ordered index finds
-    the links, of which a spanning forest goes on.
+    are divided by parts of their other bits in the same, exact way. LEVELS divisions fix all bits but 16, so
+    no bucket left has over 65,536 words. In a bucket the Gray-ordered index finds the links, of which a spanning forest goes on.
     """
     spark = prints.sparkSession
     key = lambda m: F.xxhash64(F.lit(_signed(m)), F.col("x").bitwiseAND(F.lit(_signed(m))))
@@ -397,6 +399,23 @@ def alike(sets: list[np.ndarray], similarity: float, root: np.ndarray) -> tuple[
     return np.array([a for a, _ in out], np.int64), np.array([b for _, b in out], np.int64)
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows (key, x, node) with each key of over MEMBERS rows replaced by keys for all pairs of blocks of half as many.
+
+    Any two rows of such a key meet in the pair of their blocks, so none of their links is lost.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS)
+    hot = materialize(sizes.select("key", F.ceil(2 * F.col("n") / F.lit(MEMBERS)).cast("int").alias("nb")))
+    if hot.isEmpty():
+        return rows
+    both = rows.join(hot, "key", "left")  # a hot key has one row in `hot`, so that adaptive execution can split it
+    own, last = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"), F.col("nb") - 1
+    both = both.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last))))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    # a block meets itself in each pair with another one
+    return both.where("nb is null or own != other").select(F.when(F.col("nb").isNull(), F.col("key")).otherwise(pair).alias("key"), "x", "node")
+
+
 def _left_out(marks: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """(a, b): verified pairs across the groups `roots` in the families of texts that share buckets in `marks` (node, key).
 
@@ -430,15 +449,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked; groups are
     the components. Candidates share one of the samples of sketch bits that table_shape() asks for and differ in
-    RADIUS bits at most of one word: two texts at 0.8 meet with a probability of about 0.98, at any size. Each bucket gives
-    all its pairs, or if it is large a spanning forest of its nearest ones, and every one of these is then settled
+    RADIUS bits at most of one word: two texts at 0.8 meet with a probability of about 0.98, at any size. Each bucket (or, over
+    MEMBERS texts, each pair of its blocks) gives all its pairs, or if it is large a spanning forest of its nearest ones, and every one of these is then settled
     on the whole sets. Pairs that a forest leaves out and that no verified pairs join are settled by _left_out().
     """
     small_batches(docs.sparkSession)
-    bits, tables = table_shape(docs.count(), similarity)
+    n_rows = docs.count()
+    bits, tables = table_shape(n_rows, similarity)
     sketched = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), _sketcher(shingle, bits, tables)(F.col(text)).alias("s"))
     texts = materialize(sketched.groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("s.n", "s.x", "s.tables")).alias("s")))
     rows = texts.select("node", F.col("s.x").alias("x"), F.posexplode("s.tables").alias("t", "v")).select((F.col("t").cast("long") * F.lit(1 << bits) + F.col("v")).alias("key"), "x", "node")
+    if n_rows > MEMBERS:  # no bucket holds more than all texts
+        rows = _bounded(rows)
     pairs = rows.repartition("key").sortWithinPartitions("key", "x").mapInPandas(_edges(RADIUS, True), "a string, b string, key long")
     found = materialize(pairs.distinct())
     marks = found.where("b is null").select(F.col("a").alias("node"), "key")

@@ -256,8 +256,23 @@ def test_keep_one_odd_rows(odd):
     assert sum(not (t or "").strip() for _, t in kept) == 1 and simhash.keep_one(empty(odd)).count() == 0
 
 
-def test_template_family_is_settled_like_brute_force(spark):
+def test_large_buckets_are_divided_and_all_pairs_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 40)
+    size = {1: 100, 2: 40, 3: 1, 4: 41}
+    rows = spark.createDataFrame([(k, k * 1000 + i, f"{k}.{i}") for k, n in size.items() for i in range(n)], "key long, x long, node string")
+    groups = {}
+    for r in simhash._bounded(rows).collect():
+        groups.setdefault(r.key, []).append(r.node)
+    pairs = {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+    assert pairs == {p for k, n in size.items() for p in itertools.combinations(sorted(f"{k}.{i}" for i in range(n)), 2)}
+    assert max(map(len, groups.values())) <= 60 and all(len(set(g)) == len(g) for g in groups.values())
+    assert sorted(groups[2]) == sorted(f"2.{i}" for i in range(40)) and groups[3] == ["3.0"]
+
+
+@pytest.mark.parametrize("members", [100_000, 60])
+def test_template_family_is_settled_like_brute_force(spark, monkeypatch, members):
     # texts on one template at 0.6 to 0.79, with some pairs above 0.8 among them
+    monkeypatch.setattr(simhash, "MEMBERS", members)
     rng = np.random.default_rng(8)
     base, fill = [f"t{i}" for i in range(200)], lambda: "f" + str(rng.integers(0, 10**9))
     texts = []
