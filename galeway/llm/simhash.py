@@ -454,14 +454,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     on the whole sets. Pairs that a forest leaves out and that no verified pairs join are settled by _left_out().
     """
     small_batches(docs.sparkSession)
-    n_rows = docs.count()
-    bits, tables = table_shape(n_rows, similarity)
+    bits, tables = table_shape(docs.count(), similarity)
     sketched = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(doc).alias("doc"), _sketcher(shingle, bits, tables)(F.col(text)).alias("s"))
     texts = materialize(sketched.groupBy("node").agg(F.min("doc").alias("least"), F.min(F.struct("s.n", "s.x", "s.tables")).alias("s")))
     rows = texts.select("node", F.col("s.x").alias("x"), F.posexplode("s.tables").alias("t", "v")).select((F.col("t").cast("long") * F.lit(1 << bits) + F.col("v")).alias("key"), "x", "node")
-    if n_rows > MEMBERS:  # no bucket holds more than all texts
-        rows = _bounded(rows)
-    pairs = rows.repartition("key").sortWithinPartitions("key", "x").mapInPandas(_edges(RADIUS, True), "a string, b string, key long")
+    pairs = _bounded(rows).repartition("key").sortWithinPartitions("key", "x").mapInPandas(_edges(RADIUS, True), "a string, b string, key long")
     found = materialize(pairs.distinct())
     marks = found.where("b is null").select(F.col("a").alias("node"), "key")
     pairs = materialize(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
